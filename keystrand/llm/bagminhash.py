@@ -7,8 +7,8 @@ Two multisets then agree in a slot with probability sum(min)/sum(max), their wei
 followed only up to a time that leaves almost every slot filled, and further for the documents where one is left open.
 
 Scale.  Texts with equal words collapse to one representative first (a partial aggregation).  In each band bucket every
-representative is compared with the bucket's leaders, not with each other; verified links give components, and only what
-is still in different components of one bucket is compared further.  Nothing is dropped: see :func:`near_duplicates`.
+representative is compared with two leaders; verified links give components, and only what is still in different
+components of one bucket is compared further, in blocks.  Nothing is dropped: see :func:`near_duplicates`.
 
 Edge cases: null texts are classes of their own; texts without words are duplicates only of equal texts; texts of one to
 four words are one shingle; rows that repeat an id count as one document if the text is equal, else as the text whose
@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow, delete, plain, scratch, table
+from ._shared import arrow, delete, plain, ship, table
 from ._words import U, Words, buffers, chunks, mix, shingles, span, split_words, prefix
 
 SHINGLE = 5
@@ -179,14 +180,74 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _ranked(shingles: bytes) -> np.ndarray:
+    """Sorted (hash, number of the copy) keys of a multiset."""
+    x = np.frombuffer(shingles, np.uint32)
+    return (x.astype(U) << U(32)) | (np.arange(len(x)) - np.searchsorted(x, x)).astype(U)
+
+
+def _compare(probes: pa.Table, targets: pa.Table, threshold: float) -> pa.Table:
+    """Links of similar rows in different components, one for each probe and component."""
+    links: list[tuple[int, int]] = []
+    if probes.num_rows and targets.num_rows:
+        bucket = probes.column("bucket")[0].as_py()
+        sets = [_ranked(x.as_py()) for x in targets.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        rep, root = (targets.column(c).to_numpy() for c in ("rep", "root"))
+        outside = targets.column("main").to_numpy(zero_copy_only=False)
+        bands = targets.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sets), -1)
+        for i in range(probes.num_rows):
+            mine, x = (probes.column(c)[i].as_py() for c in ("rep", "root"))
+            own = np.array(probes.column("bands")[i].as_py())
+            probe = _ranked(probes.column("shingles")[i].as_py())
+            shared = bands == own
+            # a pair is looked at in the first bucket it shares, and once if both are probes
+            ask = (root != x) & (own[shared.argmax(1)] == bucket) & (outside | (mine < rep))
+            ask &= np.minimum(size, len(probe)) >= threshold * np.maximum(size, len(probe))
+            if not ask.any():
+                continue
+            part = ask[owner]
+            at = np.searchsorted(probe, keys[part])
+            at[at == len(probe)] = 0
+            common = np.bincount(owner[part], probe[at] == keys[part], len(sets))
+            near = np.flatnonzero(ask & (common >= threshold * (size + len(probe) - common)))
+            _, first = np.unique(root[near], return_index=True)
+            links += [(min(mine, r), max(mine, r)) for r in rep[near[first]].tolist()]
+    return pa.table([pa.array([k[j] for k in links], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+
+def _large_buckets(members: DataFrame, held: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Links across components within large buckets (bucket, n, rep, root).
+
+    Members outside a bucket's largest component are compared with all its members, in blocks of about ``block`` by
+    ``block`` rows, each a task's group; multisets are compared in memory and only links come out.
+    """
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"))
+    largest = largest.select("bucket", F.col("top.root").alias("main_root"), F.ceil((F.col("n") - F.col("top.c")) / block).cast("int").alias("probe_blocks"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = members.join(largest, "bucket").withColumn("main", F.col("root") == F.col("main_root")).join(held.select("rep", "bands", "shingles"), "rep")
+    spot = F.abs(F.xxhash64("rep"))
+    columns = ("bucket", "i", "j", "rep", "root", "main", "bands", "shingles")
+    probes = rows.where(~F.col("main")).withColumn("i", (spot % F.col("probe_blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns)
+    targets = rows.withColumn("j", (spot % F.col("blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1))).select(*columns)
+    ship(members.sparkSession)
+
+    def run(rows: pa.Table) -> pa.Table:
+        probe = rows.column("probe")
+        return _compare(rows.filter(probe), rows.filter(pc.invert(probe)), threshold)
+
+    both = probes.withColumn("probe", F.lit(True)).union(targets.withColumn("probe", F.lit(False)))
+    return both.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = 32) -> DataFrame:
     """One row per document: ``doc_id``, ``exact_id`` (least id with the same words), ``class_id`` (least id of the class).
 
-    Classes are connected components of links with similarity >= threshold.  1. Every member of a bucket is paired with
-    the bucket's least member and with a second one picked by hash.  2. Components of the verified pairs are formed.
-    3. In buckets that still hold several components, a bucket of at most ``small`` representatives gives its pairs across
-    components; a larger one repeats the leader step with its components' members against the least member of every other
-    component and a hashed one, until a round finds no new link.
+    Classes are connected components of links with similarity >= threshold among texts that share a band bucket.
+    1. Every member of a bucket is paired with the bucket's least member and with a second one picked by hash.
+    2. Components of the verified pairs are formed.  3. In buckets that still hold several components, all pairs across
+    components are compared: as rows where a bucket has at most ``small`` representatives, else by :func:`_large_buckets`.
     """
     spark = documents.sparkSession
     described, path = table(describe(documents, bands, rows), "bands")
@@ -199,34 +260,22 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     full = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.min(F.struct(F.xxhash64("rep", "bucket"), "rep")).alias("other")).where("n > 1").select("bucket", "n", "lead", F.col("other.rep").alias("other"))
     buckets, bucket_path = table(keyed.join(full, "bucket"), "buckets")
     stars = buckets.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    wanted = buckets.select("rep").distinct()
-    held, held_path = table(sets.join(wanted, "rep").select("rep", "weight", "shingles"), "sets")
+    held, held_path = table(sets.join(buckets.select("rep").distinct(), "rep").select("rep", "weight", "bands", "shingles"), "sets")
     links, links_path = table(_verified(stars, held, threshold), "links")
-    paths = [path, member_path, bucket_path, held_path, links_path]
-    done = [stars]
-    while True:
-        roots = components(links)
-        placed = buckets.join(roots, buckets.rep == roots.node, "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        open_ = placed.join(mixed, "bucket")
-        few = open_.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list(F.struct("rep", "root")).alias("m"))
-        few = few.select(F.explode("m").alias("x"), "m").select(F.col("x"), F.explode("m").alias("y")).where("x.root <> y.root and x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        many = open_.where(F.col("n") > small)
-        heads_ = many.groupBy("bucket", "root").agg(F.min("rep").alias("first"), F.min_by("rep", F.xxhash64("rep", "bucket")).alias("second")).select("bucket", F.col("root").alias("there"), F.explode(F.array_distinct(F.array("first", "second"))).alias("head"))
-        more = many.join(heads_, "bucket").where("root <> there").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
-        pairs = few.union(more).distinct()
-        for old in done:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        asked, asked_path = table(pairs, "pairs")
-        found, found_path = table(_verified(asked, held, threshold), "links")
-        paths += [asked_path, found_path]
-        if found.isEmpty():
-            break
-        done.append(asked)
-        links = links.union(found)
+    roots = components(links)
+    placed = buckets.join(roots, buckets.rep == roots.node, "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    open_, open_path = table(placed.join(mixed, "bucket"), "open")
+    few = open_.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list(F.struct("rep", "root")).alias("m"))
+    few = few.select(F.explode("m").alias("x"), "m").select(F.col("x"), F.explode("m").alias("y")).where("x.root <> y.root and x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    few = few.join(stars, ["a", "b"], "left_anti")
+    found = _verified(few, held, threshold).union(_large_buckets(open_.where(F.col("n") > small), held, threshold))
+    found, found_path = table(found, "links")
+    if not found.isEmpty():
+        roots = components(links.union(found))
     out = member.join(roots, member.rep == roots.node, "left").select("doc_id", F.col("rep").alias("exact_id"), F.coalesce("root", "rep").alias("class_id"))
     lone = plain(documents, "doc_id", "text").where("doc_id is not null").groupBy("doc_id").agg(F.count("text").alias("n")).where("n = 0").select("doc_id", F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("class_id"))
     result, _ = table(out.union(lone), "classes")
-    for p in paths:
+    for p in (path, member_path, bucket_path, held_path, links_path, open_path, found_path):
         delete(spark, p)
     return result
