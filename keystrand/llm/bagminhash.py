@@ -159,25 +159,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return arrow(both.select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for nodes that have a link.
 
-    Every round sends each node's root to its neighbours and then follows roots once more (pointer jumping); rounds end
-    when nothing changes.  Sums over a hub's many links are partial minima.
+    Every round hooks each node to its least smaller neighbour, follows these pointers to their ends by doubling, and
+    contracts the links to the ends; links shrink until none is left.  A hub's links only meet in partial minima.
     """
-    edges, _ = table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    roots, path = table(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    for _ in range(rounds):
-        near = edges.join(roots, edges.b == roots.node).groupBy("a").agg(F.min("root").alias("low"))
-        low = roots.join(near, roots.node == near.a).select("node", F.least("root", "low").alias("mid"), "root")
-        jump = roots.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        after, new = table(low.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("root"), F.col("root").alias("was")), "roots")
-        changed = after.where("root <> was").limit(1).count()
-        delete(roots.sparkSession, path)
-        roots, path = after.drop("was"), new
-        if not changed:
-            return roots
-    raise RuntimeError("components did not settle")
+    spark = links.sparkSession
+
+    def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+        return df.select(F.least(x, y).alias("low"), F.greatest(x, y).alias("high")).where("low < high").distinct()
+
+    edges, edge_path = table(pairs(links, "a", "b"), "edges")
+    nodes = edges.select(F.explode(F.array("low", "high")).alias("node")).distinct()
+    nodes, _ = table(nodes, "nodes")
+    total = None
+    while not edges.isEmpty():
+        parent, path = table(edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root")), "parents")
+        while True:
+            up = parent.select(F.col("node").alias("via"), F.col("root").alias("end"))
+            jumped, new = table(parent.join(up, parent.root == up.via, "left").select("node", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved")), "parents")
+            delete(spark, path)
+            parent, path = jumped.drop("moved"), new
+            if jumped.where("moved").isEmpty():
+                break
+        low = parent.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
+        high = parent.select(F.col("node").alias("high"), F.col("root").alias("high_root"))
+        ends = edges.join(low, "low", "left").join(high, "high", "left").select(F.coalesce("low_root", "low").alias("x"), F.coalesce("high_root", "high").alias("y"))
+        if total is None:
+            total = parent
+        else:
+            then = parent.select(F.col("node").alias("via"), F.col("root").alias("end"))
+            total, _ = table(total.join(then, total.root == then.via, "left").select("node", F.coalesce("end", "root").alias("root")).union(parent), "totals")
+        edges, new = table(pairs(ends, "x", "y"), "edges")
+        delete(spark, edge_path)
+        edge_path = new
+    if total is None:
+        return nodes.select("node", F.col("node").alias("root"))
+    return nodes.join(total, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def _ranked(shingles: bytes) -> np.ndarray:
@@ -261,8 +280,9 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     buckets, bucket_path = table(keyed.join(full, "bucket"), "buckets")
     stars = buckets.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     held, held_path = table(sets.join(buckets.select("rep").distinct(), "rep").select("rep", "weight", "bands", "shingles"), "sets")
+    delete(spark, path)
     links, links_path = table(_verified(stars, held, threshold), "links")
-    roots = components(links)
+    roots, roots_path = table(components(links), "roots")
     placed = buckets.join(roots, buckets.rep == roots.node, "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     open_, open_path = table(placed.join(mixed, "bucket"), "open")
@@ -272,10 +292,10 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     found = _verified(few, held, threshold).union(_large_buckets(open_.where(F.col("n") > small), held, threshold))
     found, found_path = table(found, "links")
     if not found.isEmpty():
-        roots = components(links.union(found))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
     out = member.join(roots, member.rep == roots.node, "left").select("doc_id", F.col("rep").alias("exact_id"), F.coalesce("root", "rep").alias("class_id"))
     lone = plain(documents, "doc_id", "text").where("doc_id is not null").groupBy("doc_id").agg(F.count("text").alias("n")).where("n = 0").select("doc_id", F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("class_id"))
     result, _ = table(out.union(lone), "classes")
-    for p in (path, member_path, bucket_path, held_path, links_path, open_path, found_path):
+    for p in (member_path, bucket_path, held_path, links_path, roots_path, open_path, found_path):
         delete(spark, p)
     return result
