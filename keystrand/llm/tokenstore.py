@@ -69,7 +69,7 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str, end: int):
         self.path, self.pattern, self.end = path, pattern, end
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _tokens(self):
         import tiktoken
 
         key = (self.path, self.pattern)
@@ -77,8 +77,16 @@ class ByteBpe:
             with open(self.path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.held[key] = tiktoken.Encoding("bytes", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        tokens = self.held[key]
-        return [np.array([*tokens.encode_ordinary(x), self.end], np.uint32) for x in texts]
+        return self.held[key]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text and the end id."""
+        tokens = self._tokens()
+        return [np.append(tokens.encode_to_numpy(x, allowed_special=set(), disallowed_special=()), np.uint32(self.end)) for x in texts]
+
+    def count(self, texts: list[str]) -> list[int]:
+        tokens = self._tokens()
+        return [len(tokens.encode_to_numpy(x, allowed_special=set(), disallowed_special=())) + 1 for x in texts]
 
 
 def default_tokenizer(folder: str | None = None) -> ByteBpe:
@@ -122,10 +130,10 @@ def write_training_order(documents: DataFrame, folder: str, tokenizer=None, key:
         n = 0
         for batch in batches:
             for part in chunks(batch):
-                n += sum(-(-len(t) // length) for t in tokenizer.encode([t or "" for t in part.column("text").to_pylist()]))
+                n += sum(-(-t // length) for t in tokenizer.count([t or "" for t in part.column("text").to_pylist()]))
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["task", "n"])
 
-    counts = {r[0]: r[1] for r in arrow(rows, count, "task int, n long").toLocalIterator()}  # one row an input partition
+    counts = {r[0]: r[1] for r in arrow(rows, count, "task int, n long").collect()}  # one row an input partition
     starts, total = {}, 0
     for task in sorted(counts):
         starts[task] = total
