@@ -131,7 +131,7 @@ def _added(df: DataFrame, width: int, what) -> np.ndarray:
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     parts = arrow(df, part, "part binary").repartition(PARTS)
-    return sum((np.frombuffer(r[0]) for r in arrow(parts, add, "part binary").toLocalIterator()), np.zeros(width))
+    return sum((np.frombuffer(r[0]) for r in arrow(parts, add, "part binary").collect()), np.zeros(width))
 
 
 def isotonic(x: np.ndarray, positives: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
