@@ -21,8 +21,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; rows without an id stay, repeated rows of an id become one."""
-    kept = bagminhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
+    """The document with the least id of each class; rows without an id stay, repeated rows of an id become one.
+
+    The kept ids grow with the input, so they are merged and never broadcast, at any size.
+    """
+    kept = bagminhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").hint("merge")
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 

@@ -235,12 +235,10 @@ def score_quality(documents: DataFrame, labels: DataFrame, held_out_modulus: int
 def keep_good(documents: DataFrame, source: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows of ``documents`` whose score reaches the threshold, with all columns, for a model learned on ``source``.
 
-    The texts are scored where they are read: no join and no shuffle of texts.
+    The texts are scored where they are read, and only statistics meet the labels: texts are never shuffled.
     """
     out = F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False))
-    marked = plain(labels, "doc_id", "quality").where(~out)
-    texts = plain(source, "doc_id", "text").where(~out)
-    rows, path = table(training_rows(describe(texts.join(marked.select("doc_id").distinct(), "doc_id", "left_semi"), "text", "doc_id"), marked, F.lit(True)), "training")
+    rows, path = table(training_rows(describe(plain(source, "doc_id", "text").where(~out), "text", "doc_id"), labels, ~out), "training")
     model = fit(rows)
     delete(rows.sparkSession, path)
     held = documents.sparkSession.sparkContext.broadcast(model)
