@@ -66,7 +66,7 @@ class ByteBpe:
     """Ranks file of a byte-level BPE; loaded once a worker."""
 
     held: dict[tuple, object] = {}
-    counts: dict[str, int] = {}
+    counts: dict[tuple, dict[str, int]] = {}
 
     def __init__(self, path: str, pattern: str, end: int):
         self.path, self.pattern, self.end = path, pattern, end
@@ -92,19 +92,29 @@ class ByteBpe:
         A blank between two characters that are no white space always begins a word, so counts of words (kept in a bounded
         cache) add up; texts with other blanks are encoded.
         """
-        tokens, known = self._tokens(), self.counts
+        tokens, out = self._tokens(), []
+        known = self.counts.setdefault((self.path, self.pattern), _WordCounts(tokens))
         if len(known) > CACHE_WORDS:
             known.clear()
-        cut = [x.split(" ") for x in texts]
-        for w in {w for ws in cut for w in ws[1:]}.difference(known):
-            known[w] = len(tokens.encode_ordinary(" " + w)) if w and w == w.strip() else -(1 << 60)
-        get, out = known.__getitem__, []
-        for text, (first, *rest) in zip(texts, cut, strict=True):
-            n = sum(map(get, rest)) if not rest or (first and first == first.rstrip()) else -1
+        for text in texts:
+            first, *rest = text.split(" ")
+            n = sum(map(known.__getitem__, rest)) if not rest or (first and first == first.rstrip()) else -1
             out.append(1 + (n + len(tokens.encode_ordinary(first)) if n >= 0 else len(tokens.encode_ordinary(text))))
         return out
 
 
+class _WordCounts(dict):
+    """Ids of a blank and a word; far below zero where the word has white space at an end."""
+
+    def __init__(self, tokens):
+        super().__init__()
+        self.tokens = tokens
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self.tokens.encode_ordinary(" " + w)) if w and w == w.strip() else -(1 << 60)
+        return n
+
+
 def default_tokenizer(folder: str | None = None) -> ByteBpe:
     """The 50k byte-level vocabulary; ``folder`` overrides where it lies."""
     import public_tokenizers
