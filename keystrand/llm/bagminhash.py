@@ -149,7 +149,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose multisets overlap enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("weight").alias("weight_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("weight").alias("weight_b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,13 +273,19 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     member = described.groupBy("doc_id").agg(F.min(F.struct("key1", "key2")).alias("k")).select("doc_id", "k.*")
     member, member_path = table(member.join(member.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), ["key1", "key2"]).select("doc_id", "rep", "key1", "key2"), "members")
     heads = member.where("doc_id = rep").select("rep", F.col("key1").alias("k1"), F.col("key2").alias("k2"))
-    # a repeated id with another text is described twice; the class keys pick its one row
-    sets = described.join(heads, (F.col("doc_id") == F.col("rep")) & (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")))
+
+    def one_row(rows: DataFrame, of: DataFrame) -> DataFrame:
+        """A repeated id with another text is described twice; the class keys pick its one row."""
+        return rows.join(of, (F.col("doc_id") == F.col("rep")) & (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")))
+
+    sets = one_row(described, heads)
     keyed = sets.where("weight > 0").select("rep", F.explode("bands").alias("bucket"))
     full = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.min(F.struct(F.xxhash64("rep", "bucket"), "rep")).alias("other")).where("n > 1").select("bucket", "n", "lead", F.col("other.rep").alias("other"))
     buckets, bucket_path = table(keyed.join(full, "bucket"), "buckets")
     stars = buckets.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    held, held_path = table(sets.join(buckets.select("rep").distinct(), "rep").select("rep", "weight", "bands", "shingles"), "sets")
+    # what could be compared is picked before the multisets move, and they move once; the ids grow with the input, so no side is broadcast
+    wanted = heads.join(buckets.select("rep").distinct(), "rep").hint("merge")
+    held, held_path = table(one_row(described, wanted).select("rep", "weight", "bands", "shingles"), "sets")
     delete(spark, path)
     links, links_path = table(_verified(stars, held, threshold), "links")
     roots, roots_path = table(components(links), "roots")
