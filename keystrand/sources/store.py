@@ -45,6 +45,8 @@ class KeyedStore:
         self.hooks: dict[str, Callable[[], None]] = {}
         self.counters = {"compactions": 0, "checkpoints": 0, "stalls": 0}
         self.manifest = self._load()
+        if not self.manifest["version"]:
+            self._commit(None, 0, 0)  # from now on a folder without a manifest is a damaged one
 
     # ---- manifest
 
@@ -58,6 +60,7 @@ class KeyedStore:
             if self.files.names("base"):
                 raise StoreError(f"{self.path} has snapshots but no manifest")
             return {"version": 0, "checkpoint_lsn": 0, "base": None, "rows": 0}
+        # the newest manifest decides; an unreadable one is never skipped
         try:
             m = json.loads(self.files.read(f"manifest/{names[-1]}"))
         except ValueError as e:
