@@ -61,7 +61,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, count: np.ndarray, docs: in
             low = np.where(level > 0, np.int64(1) << np.maximum(level - 1, 0), 0)
             high = np.int64(1) << level
             d, c = d[which], c[which]
-            seed = mix(e[which] + (level + 1).astype(U) * _STEP)
+            seed = mix(mix(e)[which] + (level + 1).astype(U) * _STEP)
             rate, time = 1.0 / (size * (high - low)), np.zeros(len(d))
             step = 0
             while len(d):

@@ -114,7 +114,8 @@ def canonical_json(df: DataFrame, column: str = "json") -> DataFrame:
     for name, (_, kind, rule) in LAYOUTS.items():
         parsed = F.from_json(F.col(column), kind)
         turns = F.when(layout == name, rule(lambda f, p=parsed: p[f]).cast("array<struct<role:string,text:string>>")).otherwise(turns)
-    return df.select("*", layout.alias("layout"), turns.alias("turns"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("layout", "turns")]
+    return df.select(*kept, layout.alias("layout"), turns.alias("turns"))
 
 
 def canonical_rows(df: DataFrame) -> DataFrame:

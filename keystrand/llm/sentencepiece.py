@@ -403,10 +403,15 @@ def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
 
 
 def encode(documents: DataFrame, model: str | None = None, text: str = "text", verify: bool = False) -> DataFrame:
-    """All columns of ``documents`` but the text, with ``ids`` (array of int), ``n_tokens`` and ``decoded`` (whether the ids read back as the text)."""
+    """All columns of ``documents`` but the text, with ``ids`` (array of int), ``n_tokens`` and ``decoded`` (whether the ids read back as the text).
+
+    Columns that already have these names are replaced.
+    """
     path = model or default_model()
     at = [c.lower() for c in documents.columns].index(text.lower())
-    names = [c for i, c in enumerate(documents.columns) if i != at]
+    own = {"ids", "n_tokens", "decoded"}
+    kept = [i for i, c in enumerate(documents.columns) if i != at and c.lower() not in own]
+    names = [documents.columns[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
@@ -422,25 +427,27 @@ def encode(documents: DataFrame, model: str | None = None, text: str = "text", v
                 flat = pa.array(np.frombuffer(b"".join(p for p in packed if p), "<i4"), pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=null) if len(ids) else pa.array([], pa.list_(pa.int32()))
                 back = [None if x is None else coder.decode(x) == t.replace(BLANK, " ") for x, t in zip(ids, texts, strict=True)]
-                rest = [c.slice(start, len(part)) for i, c in enumerate(batch.columns) if i != at]
+                rest = [batch.column(i).slice(start, len(part)) for i in kept]
                 yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(sizes), pa.array(back, pa.bool_())], [*names, "ids", "n_tokens", "decoded"])
                 start += len(part)
 
-    kinds = "".join(f"`{c}` {t}, " for i, (c, t) in enumerate(documents.dtypes) if i != at)
+    kinds = "".join(f"`{documents.dtypes[i][0]}` {documents.dtypes[i][1]}, " for i in kept)
     return arrow(documents, run, f"{kinds}ids array<int>, n_tokens long, decoded boolean")
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
-    """All columns of ``encoded``, with ``text`` read back from the ids."""
+    """All columns of ``encoded``, with ``text`` read back from the ids (in place of a column of that name)."""
     path = model or default_model()
 
+    encoded = encoded.select(*[f"`{c}`" for c in encoded.columns if c.lower() != "text"])
+    names, kinds = [*encoded.columns, "text"], "".join(f"`{c}` {t}, " for c, t in encoded.dtypes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
             texts = [None if x is None else coder.decode(np.array(x, np.int64)) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*encoded.columns, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    kinds = "".join(f"`{c}` {t}, " for c, t in encoded.dtypes)
     return arrow(encoded, run, f"{kinds}text string")
 
 
