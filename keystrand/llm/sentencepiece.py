@@ -34,7 +34,7 @@ from ._shared import arrow
 from ._words import U, mix
 
 BLANK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 LONG = 32
 BLOCK = 16_384
 _NONE = np.int32(2**31 - 1)
