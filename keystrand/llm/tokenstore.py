@@ -93,25 +93,44 @@ class ByteBpe:
         cache) add up; texts with other blanks are encoded.
         """
         tokens, out = self._tokens(), []
-        known = self.counts.setdefault((self.path, self.pattern), _WordCounts(tokens))
-        if len(known) > CACHE_WORDS:
+        known = self.counts.get((self.path, self.pattern))
+        if known is None:
+            known = self.counts[self.path, self.pattern] = _WordCounts(tokens)
+        if len(known) + len(known.once) > CACHE_WORDS:
             known.clear()
+            known.once.clear()
         for text in texts:
             first, *rest = text.split(" ")
-            n = sum(map(known.__getitem__, rest)) if not rest or (first and first == first.rstrip()) else -1
-            out.append(1 + (n + len(tokens.encode_ordinary(first)) if n >= 0 else len(tokens.encode_ordinary(text))))
+            if rest and not (first and first == first.rstrip()):
+                out.append(1 + len(tokens.encode_ordinary(text)))
+                continue
+            n = sum(map(known.__getitem__, rest))
+            left = " ".join([first, *known.fresh]) if n >= 0 else text
+            known.fresh.clear()
+            out.append(1 + max(n, 0) + len(tokens.encode_ordinary(left)))
         return out
 
 
 class _WordCounts(dict):
-    """Ids of a blank and a word; far below zero where the word has white space at an end."""
+    """Ids of a blank and a word, far below zero where the word has white space at an end.
+
+    A word met for the first time counts 0 and is put on ``fresh``, for the text's own call; one met again is kept.
+    """
 
     def __init__(self, tokens):
         super().__init__()
-        self.tokens = tokens
+        self.tokens, self.once, self.fresh = tokens, set(), []
 
     def __missing__(self, w: str) -> int:
-        n = self[w] = len(self.tokens.encode_ordinary(" " + w)) if w and w == w.strip() else -(1 << 60)
+        if not w or w != w.strip():
+            n = self[w] = -(1 << 60)
+        elif w in self.once:
+            self.once.discard(w)
+            n = self[w] = len(self.tokens.encode_ordinary(" " + w))
+        else:
+            self.once.add(w)
+            self.fresh.append(w)
+            n = 0
         return n
 
 
