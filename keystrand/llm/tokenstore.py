@@ -34,7 +34,6 @@ from .archives import filesystem
 LENGTH = 256
 SHARD = 1 << 16
 ROUNDS = 4
-CACHE_WORDS = 1_200_000
 NO_ID = -(1 << 63)
 
 
@@ -66,53 +65,36 @@ class ByteBpe:
     """Ranks file of a byte-level BPE; loaded once a worker."""
 
     held: dict[tuple, object] = {}
-    counts: dict[tuple, dict[str, int]] = {}
 
     def __init__(self, path: str, pattern: str, end: int):
         self.path, self.pattern, self.end = path, pattern, end
 
     def _tokens(self):
+        """The library's encoder.
+
+        Its array form searches texts for special tokens; without any it tries every position, so it gets one that is never
+        allowed: texts that hold it are encoded like all others.
+        """
         import tiktoken
 
         key = (self.path, self.pattern)
         if key not in self.held:
             with open(self.path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.held[key] = tiktoken.Encoding("bytes", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+            special = {"<|never allowed|>": max(ranks.values(), default=-1) + 1}
+            self.held[key] = tiktoken.Encoding("bytes", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=special)
         return self.held[key]
 
+    def _ids(self, text: str) -> np.ndarray:
+        return self._tokens().encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        tokens = self._tokens()
-        return [np.append(tokens.encode_to_numpy(x, allowed_special=set(), disallowed_special=()), np.uint32(self.end)) for x in texts]
+        return [np.append(self._ids(x), np.uint32(self.end)) for x in texts]
 
     def count(self, texts: list[str]) -> list[int]:
-        """How many ids :meth:`encode` gives each text.
-
-        A blank between two characters that are no white space always begins a word, so counts of words (kept in a bounded
-        cache) add up; texts with other blanks are encoded.
-        """
-        tokens, out = self._tokens(), []
-        known = self.counts.setdefault((self.path, self.pattern), _WordCounts(tokens))
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for text in texts:
-            first, *rest = text.split(" ")
-            n = sum(map(known.__getitem__, rest)) if not rest or (first and first == first.rstrip()) else -1
-            out.append(1 + (n + len(tokens.encode_ordinary(first)) if n >= 0 else len(tokens.encode_ordinary(text))))
-        return out
-
-
-class _WordCounts(dict):
-    """Ids of a blank and a word; far below zero where the word has white space at an end."""
-
-    def __init__(self, tokens):
-        super().__init__()
-        self.tokens = tokens
-
-    def __missing__(self, w: str) -> int:
-        n = self[w] = len(self.tokens.encode_ordinary(" " + w)) if w and w == w.strip() else -(1 << 60)
-        return n
+        """How many ids :meth:`encode` gives each text."""
+        return [1 + len(self._ids(x)) for x in texts]
 
 
 def default_tokenizer(folder: str | None = None) -> ByteBpe:
