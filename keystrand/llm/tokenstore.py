@@ -9,7 +9,7 @@ shuffle of compressed token ids, no sort and no sampling.
 Record: doc_id int64, sequence int32, tokens int32 (little-endian), then ``length`` ids of uint16 (uint32 for vocabularies
 over 65,536), padded with the end id.
 
-Edge cases: each text ends with the end id, so null and empty texts are one sequence of that id; a null doc_id is stored as
+Edge cases: white space of any length is cut as the vocabulary's pattern says; each text ends with the end id, so null and empty texts are one sequence of that id; a null doc_id is stored as
 -2^63; repeated rows are repeated sequences; an empty table writes a manifest with N = 0 and no shard.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ LENGTH = 256
 SHARD = 1 << 16
 ROUNDS = 4
 NO_ID = -(1 << 63)
+LOOK_AHEAD = r"|\s+(?!\S)|\s+"  # how the patterns of such vocabularies end
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{4096,}")
 
 
 # ---------------------------------------------------------------- permutation
@@ -86,7 +89,22 @@ class ByteBpe:
         return self.held[key]
 
     def _ids(self, text: str) -> np.ndarray:
-        return self._tokens().encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        try:
+            return self._tokens().encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        except ValueError:  # the library's look-ahead gives up on white space of some hundred thousand characters
+            if not self.pattern.endswith(LOOK_AHEAD) or not LONG_SPACE.search(text):
+                raise
+            return np.concatenate([np.array(x, np.uint32) for x in self._pieces(text)])
+
+    def _pieces(self, text: str) -> Iterator[np.ndarray | list[int]]:
+        """Ids between and of long white space, which is one piece but for its last character before other text."""
+        at = 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            yield self._ids(text[at : run.start()])
+            yield self._tokens()._encode_single_piece(text[run.start() : end])
+            at = end
+        yield self._ids(text[at:])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""

@@ -258,7 +258,11 @@ def test_training_order(spark, docs, none, tmp_path):
     assert tokenstore.read_training_order(spark, folder, m).count() == m["sequences"]
     assert tokenstore.training_order(none).count() == 0
     odd = ["a  b", " a", "a ", "a \n b c", "it's 's", "x  y", "", "日 本"]
-    assert t.count(odd) == [len(t._tokens().encode_ordinary(x)) + 1 for x in odd]
+    odd += ["x <|never allowed|> y", "ab" + " " * 9000 + "c d", "x" + " \n" * 4000 + "y" + " " * 5000, "\u3000" * 5000 + "z\x1c" + " " * 4999 + "!"]
+    plain = [t._tokens().encode_ordinary(x) for x in odd]
+    assert t.count(odd) == [len(x) + 1 for x in plain] and [x.tolist() for x in t.encode(odd)] == [[*x, t.end] for x in plain]
+    assert [[int(i) for p in t._pieces(x) for i in p] for x in odd] == plain
+    assert t.count([" " * 2_000_000 + "x"]) == [2_000_002]  # more than the library's look-ahead can take
 
 
 # ---------------------------------------------------------------- 8 media
