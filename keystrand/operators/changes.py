@@ -38,11 +38,13 @@ def sentinel_reject(column: str = "value") -> Column:
 def replay(log: DataFrame, *values: str, column: str = "key") -> DataFrame:
     """Live state of an accepted log: newest record of each key, deletes dropped after that.
 
-    The newest lsn per key is a hash aggregate over fixed-width columns with partial sums, so a hot key costs one row a task.
+    One aggregate a field over the same lsn: with fixed-width values that is a hash aggregate, and as it is partial, a hot key
+    costs one row a task.
     """
     fields = values or ("value",)
-    newest = log.groupBy(column).agg(F.max_by(F.struct("op", *fields), F.col("lsn")).alias("_last"), F.max("lsn").alias("lsn"))
-    return newest.where(F.col("_last.op") != "delete").select(column, *[F.col(f"_last.{v}").alias(v) for v in fields], "lsn")
+    gone = F.max_by(F.col("op") == "delete", F.col("lsn")).alias("_gone")
+    newest = log.groupBy(column).agg(gone, *[F.max_by(v, "lsn").alias(v) for v in fields], F.max("lsn").alias("lsn"))
+    return newest.where(~F.col("_gone")).select(column, *fields, "lsn")
 
 
 def upsert(log: DataFrame, *values: str, column: str = "key") -> DataFrame:
@@ -101,6 +103,12 @@ def next_lsn(log: DataFrame) -> int:
     return 1 if last is None else last + 1
 
 
+def bounds(log: DataFrame, bad: Column) -> tuple[int | None, int]:
+    """(lsn of the first bad record, next lsn after the records before it); one pass where no record is bad."""
+    first, last = log.agg(F.min(F.when(bad, F.col("lsn"))), F.max("lsn")).first()
+    return (None, 1 if last is None else last + 1) if first is None else (first, next_lsn(log.where(F.col("lsn") < first)))
+
+
 def op_counts(log: DataFrame) -> DataFrame:
     """(op, n, share) of a log."""
     total = log.agg(F.count("*").alias("all"))

@@ -13,13 +13,15 @@ from ..functions import codec
 def merge(base: DataFrame, *deltas: DataFrame, column: str = "key") -> DataFrame:
     """Newest version of each key over (key, value, is_delete, lsn) parts; tombstones win first and then go.
 
-    Union and one aggregation: one shuffle, in place of a full outer join for each delta.
+    Union and one aggregation: one shuffle, in place of a full outer join for each delta.  Value and flag are picked by
+    two aggregates over the same lsn, so fixed-width values are aggregated by hash and not by sort; of rows that tie in
+    key and lsn, which are deliveries of one record, one is picked.
     """
     rows = base
     for d in deltas:
         rows = rows.unionByName(d)
-    newest = rows.groupBy(column).agg(F.max_by(F.struct("value", "is_delete"), F.col("lsn")).alias("_v"), F.max("lsn").alias("lsn"))
-    return newest.where(~F.col("_v.is_delete")).select(column, F.col("_v.value").alias("value"), "lsn")
+    newest = rows.groupBy(column).agg(F.max_by("value", "lsn").alias("value"), F.max_by("is_delete", "lsn").alias("_gone"), F.max("lsn").alias("lsn"))
+    return newest.where(~F.col("_gone")).select(column, "value", "lsn")
 
 
 def without_deleted(base: DataFrame, tombstones: DataFrame, column: str = "key") -> DataFrame:

@@ -87,24 +87,41 @@ class KeyedStore:
         at = self.manifest["base"]
         return self.spark.read.schema(STATE).parquet(at) if at else self.spark.createDataFrame([], STATE)
 
+    def _records(self) -> DataFrame:
+        """All records on disk, damaged and repeated ones too."""
+        names = self.files.names("log")
+        return self.spark.read.schema(LOG).parquet(*[f"{self.path}/log/{n}" for n in names]) if names else self.spark.createDataFrame([], LOG)
+
     def log(self) -> DataFrame:
         """All records on disk before the first damaged one."""
-        if not self.files.names("log"):
-            return self.spark.createDataFrame([], LOG)
-        rows = changes.deduplicated(self.spark.read.schema(LOG).parquet(*[f"{self.path}/log/{n}" for n in self.files.names("log")]))
-        return changes.valid_prefix(rows, ~changes.is_valid())
+        return changes.deduplicated(changes.valid_prefix(self._records(), ~changes.is_valid()))
+
+    def _bounds(self) -> tuple[int | None, int]:
+        """(lsn of the log's first damaged record, the next lsn to give)."""
+        first, after = changes.bounds(self._records(), ~changes.is_valid()) if self.files.names("log") else (None, 1)
+        return first, max(after, self.manifest["checkpoint_lsn"] + 1)
 
     def delta(self) -> DataFrame:
         return changes.tail(self.log(), self.manifest["checkpoint_lsn"])
 
     def state(self) -> DataFrame:
         """Live (key, value)."""
-        if not self.files.names("log"):
-            return self.base()
+        return self._state(changes.valid_prefix(self._records(), ~changes.is_valid())) if self.files.names("log") else self.base()
+
+    def _state(self, valid: DataFrame) -> DataFrame:
+        """Base and the tail of ``valid`` records, newest wins; records met twice change nothing, so they need no pass of their own."""
         old = self.base().select("key", "value", F.lit(False).alias("is_delete"), F.lit(0).cast("long").alias("lsn"))
-        new = self.delta().select("key", "value", (F.col("op") == "delete").alias("is_delete"), "lsn")
+        new = changes.tail(valid, self.manifest["checkpoint_lsn"]).select("key", "value", (F.col("op") == "delete").alias("is_delete"), "lsn")
         return compaction.merge(old, new).select("key", "value")
 
+    def _decided(self) -> tuple[DataFrame, int]:
+        """The state and the next lsn, from one look at which records of the log hold."""
+        if not self.files.names("log"):
+            return self.base(), self.manifest["checkpoint_lsn"] + 1
+        bad, lsn = self._bounds()
+        rows = self._records()
+        return self._state(rows if bad is None else rows.where(F.col("lsn") < bad)), lsn
+
     def get(self, key: bytes) -> bytes | None:
         row = reads.get(self.state(), key).select("value").first()
         return None if row is None else bytes(row[0])
@@ -128,9 +145,9 @@ class KeyedStore:
 
         Only accepted records reach the log.  The outcome is written with the records, so it is decided once.
         """
-        lsn = max(changes.next_lsn(self.log()), self.manifest["checkpoint_lsn"] + 1)
+        before, lsn = self._decided()
         rows = requests.withColumnRenamed("seq", "lsn")
-        done = changes.outcomes(rows, self.state(), reject=changes.sentinel_reject() | (F.coalesce(F.octet_length("value"), F.lit(0)) > self.config.value_quota))
+        done = changes.outcomes(rows, before, reject=changes.sentinel_reject() | (F.coalesce(F.octet_length("value"), F.lit(0)) > self.config.value_quota))
         number = len(self.files.names("outcomes"))
         at = f"{self.path}/outcomes/a={number:012d}"
         reads.numbered(done, "lsn").write.parquet(at)
@@ -167,18 +184,18 @@ class KeyedStore:
 
     def bulk_load(self, rows: DataFrame) -> None:
         """Upsert (key, value) straight into a new snapshot: no log, no gating; of equal keys one row stays."""
-        old = self.state().select("key", "value", F.lit(False).alias("is_delete"), F.lit(0).cast("long").alias("lsn"))
+        state, lsn = self._decided()
+        old = state.select("key", "value", F.lit(False).alias("is_delete"), F.lit(0).cast("long").alias("lsn"))
         new = rows.select("key", "value", F.lit(False).alias("is_delete"), F.lit(1).cast("long").alias("lsn"))
-        lsn = changes.next_lsn(self.log()) - 1
         base, n = self._write_base(compaction.merge(old, new).select("key", "value"))
-        self._commit(base, max(lsn, self.manifest["checkpoint_lsn"]), n)
+        self._commit(base, lsn - 1, n)
 
     def reorganize(self) -> None:
         """Fold the log's tail into a new snapshot; the log stays until a checkpoint rotates it."""
-        lsn = max(changes.next_lsn(self.log()) - 1, self.manifest["checkpoint_lsn"])
-        base, n = self._write_base(self.state())
+        state, lsn = self._decided()
+        base, n = self._write_base(state)
         self._hook("before_manifest")
-        self._commit(base, lsn, n)
+        self._commit(base, lsn - 1, n)
         self.counters["compactions"] += 1
 
     defragment = reorganize
