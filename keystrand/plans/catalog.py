@@ -121,6 +121,12 @@ def kv_range_probe(spark, d):
     return reads.range_probe(probes, table(spark, d, "orders"), "o_orderkey")
 
 
+@query("SELECT c_custkey * 10 AS start, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM customer JOIN orders ON o_orderkey BETWEEN c_custkey * 10 AND c_custkey * 10 + 99 GROUP BY 1")
+def kv_range_probe_all(spark, d):
+    """Every customer as a probe; kv_range_probe keeps the first hundred ids, as its SQL does."""
+    return reads.range_probe(table(spark, d, "customer").select((F.col("c_custkey") * 10).alias("start")), table(spark, d, "orders"), "o_orderkey")
+
+
 @query("SELECT l_orderkey AS offset, l_linenumber AS generation, l_quantity, o_totalprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND o_custkey % 7 + 1 = l_linenumber")
 def kv_dereference(spark, d):
     index = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("offset"), F.col("l_linenumber").alias("generation"), "l_quantity")

@@ -51,3 +51,9 @@ def test_filters_reach_the_files(spark):
 def test_latest_state_sums_in_tasks_before_the_shuffle(spark):
     text = catalog.QUERIES["compact_merge"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_range_probe_takes_every_customer(spark, db):
+    got = {r.start for r in catalog.QUERIES["kv_range_probe_all"](spark, SF).collect()}
+    last = db.sql("SELECT max(o_orderkey) FROM orders").fetchall()[0][0]
+    assert got == {c * 10 for (c,) in db.sql("SELECT c_custkey FROM customer").fetchall() if c * 10 <= last} and max(got) > 990
