@@ -20,10 +20,11 @@ def buckets(events: DataFrame, ts: str, unit: str, kind: str) -> DataFrame:
     return events.groupBy(F.date_trunc(unit, ts).alias("bucket"), kind).agg(F.count("*").alias("n"))
 
 
-def second_buckets(events: DataFrame, start: Column, ts: str, kind: str, seconds: int = 30) -> DataFrame:
-    """Counts by whole second since ``start``; what lies outside 1..seconds is dropped."""
-    sec = (F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(start)) / 1_000_000) + 1).cast("int")
-    return events.select(sec.alias("sec"), kind).where(F.col("sec").between(1, seconds)).groupBy("sec", kind).agg(F.count("*").alias("n"))
+def second_buckets(events: DataFrame, start: Column, ts: str, kind: str, seconds: int | None = 30) -> DataFrame:
+    """Counts by whole second since ``start``; what lies outside 1..seconds is dropped, nothing if ``seconds`` is None."""
+    sec = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(start)) / 1_000_000) + 1
+    rows = events.select(sec.alias("sec"), kind) if seconds is None else events.select(sec.cast("int").alias("sec"), kind).where(F.col("sec").between(1, seconds))
+    return rows.groupBy("sec", kind).agg(F.count("*").alias("n"))
 
 
 def throughput(events: DataFrame, ts: str, *by: str) -> DataFrame:

@@ -57,3 +57,8 @@ def test_range_probe_takes_every_customer(spark, db):
     got = {r.start for r in catalog.QUERIES["kv_range_probe_all"](spark, SF).collect()}
     last = db.sql("SELECT max(o_orderkey) FROM orders").fetchall()[0][0]
     assert got == {c * 10 for (c,) in db.sql("SELECT c_custkey FROM customer").fetchall() if c * 10 <= last} and max(got) > 990
+
+
+def test_second_buckets_count_every_event(spark, db):
+    got = catalog.QUERIES["ts_second_buckets_all"](spark, SF).collect()
+    assert sum(r.n for r in got) == db.sql("SELECT count(*) FROM events").fetchall()[0][0] and max(r.sec for r in got) > 86400

@@ -16,6 +16,13 @@ def test_index_percentiles(spark):
     assert got == {"a": (10, 5.0, 9.0), "b": (3, 5.0, 5.0)}
 
 
+def test_second_buckets_without_a_bound(spark):
+    df = spark.sql("SELECT timestamp_micros(t) AS ts, 'a' AS k FROM VALUES (-1L), (0L), (999999L), (86400000000L), (9000000000000000L), (NULL) AS v(t)")
+    start = F.timestamp_micros(F.lit(0).cast("long"))
+    assert {r.sec: r.n for r in measure.second_buckets(df, start, "ts", "k", None).collect()} == {0: 1, 1: 2, 86401: 1, 9000000001: 1, None: 1}
+    assert {r.sec: r.n for r in measure.second_buckets(df.where("ts < '2000-01-01'"), start, "ts", "k", 86400).collect()} == {1: 2}
+
+
 def test_lru(spark):
     pages = [1, 2, 3, 1, 4, 2, 1, 1, 5, 3, 4, 1]
     cache, hits = OrderedDict(), 0
