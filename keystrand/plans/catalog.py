@@ -413,9 +413,24 @@ def lru_hit_rate(spark, d):
     SELECT 'insert' AS op, count(*) AS n, 0::BIGINT AS delivered FROM e WHERE ins
     UNION ALL SELECT 'scan', (SELECT count(*) FROM e WHERE NOT ins), (SELECT sum(c)::BIGINT FROM s JOIN orders ON o_orderkey BETWEEN start AND start + 99)""")
 def workload_ycsb_e(spark, d):
-    e = table(spark, d, "events").select(F.when(F.col("event_id") % 20 == 19, "insert").otherwise("scan").alias("op"), (F.col("event_id") % 1000).alias("start"))
+    return _ycsb_e(spark, d, F.col("event_id") % 1000)
+
+
+@query("""WITH e AS (SELECT event_id % 20 = 19 AS ins, (event_id % 2147483648) * 2654435761 % (SELECT max(o_orderkey) + 1 FROM orders) AS start FROM events),
+    s AS (SELECT start, count(*) AS c FROM e WHERE NOT ins GROUP BY 1)
+    SELECT 'insert' AS op, count(*) AS n, 0::BIGINT AS delivered FROM e WHERE ins
+    UNION ALL SELECT 'scan', (SELECT count(*) FROM e WHERE NOT ins), (SELECT sum(c)::BIGINT FROM s JOIN orders ON o_orderkey BETWEEN start AND start + 99)""")
+def workload_ycsb_e_spread(spark, d):
+    """Starts over all keys of orders; workload_ycsb_e scans the first thousand, as its SQL does."""
+    return _ycsb_e(spark, d, F.col("event_id") % 2147483648 * 2654435761 % F.col("_keys"))
+
+
+def _ycsb_e(spark, d, start):
+    orders = table(spark, d, "orders")
+    events = table(spark, d, "events").crossJoin(F.broadcast(orders.agg((F.max("o_orderkey") + 1).alias("_keys"))))  # one row
+    e = events.select(F.when(F.col("event_id") % 20 == 19, "insert").otherwise("scan").alias("op"), start.alias("start"))
     asked = e.where("op = 'scan'").groupBy("start").agg(F.count("*").alias("c"))
-    found = reads.range_probe(asked, table(spark, d, "orders"), "o_orderkey").join(asked, "start").agg(F.lit("scan").alias("op"), F.sum(F.col("c") * F.col("n")).alias("delivered"))
+    found = reads.range_probe(asked, orders, "o_orderkey").join(asked, "start").agg(F.lit("scan").alias("op"), F.sum(F.col("c") * F.col("n")).alias("delivered"))
     return e.groupBy("op").agg(F.count("*").alias("n")).join(found, "op", "left").select("op", "n", F.coalesce("delivered", F.lit(0)).cast("long").alias("delivered"))
 
 

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 from keystrand.plans import catalog
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -62,3 +63,16 @@ def test_range_probe_takes_every_customer(spark, db):
 def test_second_buckets_count_every_event(spark, db):
     got = catalog.QUERIES["ts_second_buckets_all"](spark, SF).collect()
     assert sum(r.n for r in got) == db.sql("SELECT count(*) FROM events").fetchall()[0][0] and max(r.sec for r in got) > 86400
+
+
+def test_ycsb_e_depends_on_the_last_orders(spark, tmp_path):
+    keys = spark.range(5000).select(F.col("id").alias("o_orderkey"))
+    spark.range(1000).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    keys.write.parquet(f"{tmp_path}/orders.parquet")
+    starts = [i * 2654435761 % 5000 for i in range(1000) if i % 20 != 19]
+    want = sum(min(100, 5000 - s) for s in starts)
+    got = {r.op: (r.n, r.delivered) for r in catalog.workload_ycsb_e_spread(spark, str(tmp_path)).collect()}
+    assert got == {"insert": (50, 0), "scan": (950, want)}
+    keys.where("o_orderkey < 2500 or o_orderkey = 4999").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    got = {r.op: r.delivered for r in catalog.workload_ycsb_e_spread(spark, str(tmp_path)).collect()}
+    assert got["scan"] == sum(sum(k < 2500 or k == 4999 for k in range(s, s + 100)) for s in starts) < want
