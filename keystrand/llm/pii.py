@@ -7,7 +7,7 @@ digits.  Offsets are code points, end exclusive.
 The base kinds ``email, ip, card, phone`` follow fixed patterns: leftmost, non-overlapping per kind, matches that fail a
 check are dropped without another try.  Parsers use possessive forms that give the same matches in linear time: a maximal
 run of local-part characters before an at-sign, a digit run taken whole.  The method adds ``account`` (a value behind a cue
-such as ``token =``), ``handle`` (an at-sign with a name and no address around it) and ``url`` (scheme to last URL
+such as ``token =``; at least eight characters, then all that follow, with inner dots and closing equals signs), ``handle`` (an at-sign with a name and no address around it) and ``url`` (scheme to last URL
 character).  Edge cases: null texts count as empty and have no spans; repeated rows give repeated results.
 """
 
@@ -35,10 +35,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_VALUE = re.compile(r"\s{0,3}(?:(?:is|no|number|nr)\b\.?\s{0,3})?[:=#]?\s{0,3}[\"']?([A-Za-z0-9_+/-]{8,128})(?![A-Za-z0-9_+/-])")
+_VALUE = re.compile(r"\s{0,3}(?:(?:is|no|number|nr)\b\.?\s{0,3})?[:=#]?\s{0,3}[\"']?([A-Za-z0-9_+/-]{8})")
+_WHOLE = re.compile(r"[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+=*+")
 _SCHEME = re.compile(r"[A-Za-z0-9+.-]")
 _URL = re.compile(r"[^\s\"'<>|\\^`{}]+")
-_HANDLE = re.compile(r"[A-Za-z0-9_]{2,30}")
+_HANDLE = re.compile(r"[A-Za-z0-9_]{2,}+")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -72,7 +73,7 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> dict[str, list[tup
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not text:
         return spans
-    after_email = after_phone = after_url = after_account = 0
+    after_email = after_phone = after_url = after_account = barren = 0
     lone = []
     for last, (what, size) in anchors.iter(text):
         start = last + 1 - size
@@ -101,9 +102,14 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> dict[str, list[tup
                     after_url = end
         elif start >= after_account and not (start and (text[start - 1].isalnum() or text[start - 1] == "_")):
             m = _VALUE.match(text, last + 1)
-            if m and m.start(1) > last + 1 and sum(map(str.isdigit, m[1])) >= 3:
-                spans["account"].append(m.span(1))
-                after_account = m.end()
+            # a start inside a value of too few digits has fewer still, so no run is read twice
+            if m and m.start(1) > last + 1 and m.start(1) >= barren:
+                m = _WHOLE.match(text, m.start(1))
+                if sum(map(str.isdigit, m[0])) >= 3:
+                    spans["account"].append(m.span())
+                    after_account = m.end()
+                else:
+                    barren = m.end()
     spans["handle"] = lone
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import brute
@@ -221,6 +222,21 @@ def test_pii_base_spans_are_those_of_the_patterns(docs, tables):
         assert {k: got[k] for k in pii.BASE} == brute.personal(t), t
 
 
+def test_pii_takes_whole_values_and_handles():
+    anchors = pii.automaton()
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1g"
+    for value in ("a1" * 68, "k" * 5000 + "123", jwt, "YWJj1234ZGVmZ2hp==", "abcd1234"):
+        for text, end in ((f"token={value}", ""), (f"token = '{value}'", "'"), (f"my token: {value}. Next", ". Next")):
+            (span,) = pii.find(text, anchors)["account"]
+            assert text[slice(*span)] == value and text[span[1] :] == end
+    assert pii.find("@" + "h" * 40 + " x", anchors)["handle"] == [(0, 41)]
+    text = "token=" + "x" * 200 + " token=abc1234 token/my-token=abcd1234"
+    assert pii.find(text, anchors)["account"] == [(len(text) - 8, len(text))]
+    start = time.process_time()
+    assert not pii.find("tokenno/" * 200_000 + "token=" + "x/token-no=" * 100_000, anchors)["account"]
+    assert time.process_time() - start < 20
+
+
 def test_pii_query_and_mask(docs, none):
     got = {r.doc_id: r for r in pii.scan(docs.where("doc_id is not null")).collect()}
     r = got[16]
