@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keystrand.llm import bagminhash, decontaminate, pii, quality, sentencepiece
 from keystrand.llm._shared import delete, table
+from keystrand.operators.reads import numbered
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +22,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; rows without an id stay, repeated rows of an id become one.
+    """The document with the least id of each class; rows without an id stay, rows equal in id and text become one.
 
+    Where an id has several texts, every (id, text) is a member of its own, numbered in order of ids, so each is judged.
     The kept ids grow with the input, so they are merged and never broadcast, at any size.
     """
-    kept = bagminhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").hint("merge")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null")
+    key = F.coalesce(F.sha2("text", 256), F.lit(""))
+    pairs = known.select("doc_id", key.alias("_key")).distinct()
+    if pairs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        members = known.withColumn("_member", F.col("doc_id"))
+    else:
+        numbers, _ = table(numbered(pairs, "doc_id", "_key", name="_member"), "members")
+        members = known.withColumn("_key", key).join(numbers.hint("merge"), ["doc_id", "_key"])
+    found = bagminhash.near_duplicates(members.select(F.col("_member").alias("doc_id"), "text"))
+    kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("_member"))
+    one = members.join(kept.hint("merge"), "_member", "left_semi").dropDuplicates(["_member"])
     return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

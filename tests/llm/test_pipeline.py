@@ -59,3 +59,13 @@ def test_stages_take_awkward_rows(spark, tmp_path):
         for _, stage in pipeline.STAGES[2:4]:
             assert stage(spark, df, SF).count() == df.count()
         assert pipeline.STAGES[4][1](spark, df, SF).where(F.col("ids").isNull()).count() == df.where("text is null").count()
+
+
+def test_each_text_of_a_repeated_id_is_judged(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[1]), (3, None), (4, "one of its own"), (None, texts[0])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.near_duplicate_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, None), (4, "one of its own"), (None, texts[0])]
+    assert sorted(pairs(out), key=str) == sorted(want, key=str)
