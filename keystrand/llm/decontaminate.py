@@ -26,7 +26,8 @@ from ._words import CHUNK_BYTES, U, chunks, mix, split_words
 
 WINDOW = 8
 _FILTER_BITS = 20
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<long>, longest_match long, items_sha256 string"
+_PLACES = 2_000_000  # pairs of a hit and its place in an item that are extended at once, or one document's
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<long>, longest_match long, items_sha256 string, match_item long, match_start long"
 
 
 @dataclass
@@ -38,7 +39,10 @@ class Block:
     length: np.ndarray
     items_at: np.ndarray  # items of window i: items[items_at[i]:items_at[i+1]]
     items: np.ndarray
-    follows: np.ndarray  # sorted i * windows + j: window j is window i moved on by a word in some item
+    places_at: np.ndarray  # places of window i: rows places_at[i]:places_at[i+1] of the next two
+    text: np.ndarray  # number of the item's text
+    offset: np.ndarray  # first word in it
+    ids: np.ndarray  # item of each text
     words: np.ndarray  # filter over word hashes
     starts: np.ndarray  # filter over first words and word pairs
 
@@ -65,14 +69,14 @@ def build_block(item_ids: list[int], texts: list[str | None], window: int = WIND
     keys, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
     which = which.reshape(-1)
     pairs = np.unique(np.stack([which, np.asarray(item_ids, np.int64)[owner]], 1), axis=0)
-    near = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
+    by = np.argsort(which, kind="stable")
     hashes = np.append(words.hash, np.zeros(1, U))
     in_words, in_starts = np.zeros(1 << _FILTER_BITS, bool), np.zeros(1 << _FILTER_BITS, bool)
     in_words[_slot(words.hash)] = True
     in_starts[_slot(np.where(size > 1, _pair(hashes[at], hashes[np.minimum(at + 1, len(words.hash))]), hashes[at]))] = True
     return Block(
         vocabulary, keys, (keys > 0).sum(1), np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1)), pairs[:, 1],
-        np.unique(which[near] * max(1, len(keys)) + which[near + 1]), in_words, in_starts,
+        np.searchsorted(which[by], np.arange(len(keys) + 1)), owner[by], (at - words.first[owner])[by], np.asarray(item_ids, np.int64), in_words, in_starts,
     )
 
 
@@ -121,13 +125,46 @@ def occurrences(hashes: np.ndarray, text_end: np.ndarray, block: Block, window:
     return position[slot], np.repeat(found, n)
 
 
+def _extend(at: np.ndarray, which: np.ndarray, doc: np.ndarray, block: Block, longest: np.ndarray, start: np.ndarray, item: np.ndarray) -> None:
+    """Longest match of each document with one item's text: hits whose places in that text move on as they do, joined.
+
+    Of equal lengths the first in the document counts, then the least item; all three results are updated in place.
+    """
+    order = np.argsort(at, kind="stable")
+    at, which, doc = at[order], which[order], doc[order]
+    n = block.places_at[which + 1] - block.places_at[which]
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    upto = np.cumsum(n)
+    low = 0
+    while low < len(at):
+        high = ends[max(np.searchsorted(upto[ends - 1], (upto[low - 1] if low else 0) + _PLACES, "right") - 1, np.searchsorted(ends, low, "right"))]
+        size = n[low:high]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(block.places_at[which[low:high]], size)
+        a, d, w = (np.repeat(x[low:high], size) for x in (at, doc, block.length[which]))
+        text, shift = block.text[place], a - block.offset[place]
+        order = np.lexsort((a, shift, text))
+        a, d, w, text, shift = (x[order] for x in (a, d, w, text, shift))
+        link = np.zeros(len(a), bool)
+        link[1:] = (text[1:] == text[:-1]) & (shift[1:] == shift[:-1]) & (a[1:] == a[:-1] + 1) & (d[1:] == d[:-1])
+        head = a[np.maximum.accumulate(np.where(link, 0, np.arange(len(a))))]
+        length, owner = a - head + w, block.ids[text]
+        order = np.lexsort((owner, head, -length, d))
+        first = order[np.append(True, d[order][1:] != d[order][:-1])]
+        of, length, head, owner = d[first], length[first], head[first], owner[first]
+        better = (length > longest[of]) | ((length == longest[of]) & ((head < start[of]) | ((head == start[of]) & (owner < item[of]))))
+        of = of[better]
+        longest[of], start[of], item[of] = length[better], head[better], owner[better]
+        low = high
+
+
 def _search(batch: pa.RecordBatch, blocks: list, window: int) -> pa.RecordBatch:
     words = split_words(batch.column("text"))
     docs = batch.num_rows
     n_words = np.diff(words.first)
     text_end = np.repeat(words.first[1:], n_words)
     edge = np.zeros(len(words.hash) + 1, np.int64)
-    owners, items, longest = [], [], np.zeros(docs, np.int64)
+    owners, items = [], []
+    longest, start, item = (np.zeros(docs, np.int64) for _ in range(3))
     for broadcast in blocks:
         block = broadcast.value
         at, which = occurrences(words.hash, text_end, block, window)
@@ -141,16 +178,7 @@ def _search(batch: pa.RecordBatch, blocks: list, window: int) -> pa.RecordBatch:
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         owners.append(np.repeat(doc, n))
         items.append(block.items[np.repeat(block.items_at[which], n) + inner])
-        # windows that follow each other in the document and in the benchmark join into longer matches
-        order = np.argsort(at, kind="stable")
-        at, which, size, doc = at[order], which[order], size[order], doc[order]
-        link = np.zeros(len(at), bool)
-        if len(at) > 1 and len(block.follows):
-            code = which[:-1] * len(block.keys) + which[1:]
-            place = np.minimum(np.searchsorted(block.follows, code), len(block.follows) - 1)
-            link[1:] = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1]) & (block.follows[place] == code)
-        head = np.maximum.accumulate(np.where(link, 0, np.arange(len(at))))
-        np.maximum.at(longest, doc, at - at[head] + size)
+        _extend(at, which, doc, block, longest, start, item)
     hit = np.append(0, np.cumsum(np.cumsum(edge)[:-1] > 0))
     n_hit = hit[words.first[1:]] - hit[words.first[:-1]]
     pairs = np.unique(np.stack([np.concatenate(owners), np.concatenate(items)], 1), axis=0) if owners else np.zeros((0, 2), np.int64)
@@ -158,8 +186,8 @@ def _search(batch: pa.RecordBatch, blocks: list, window: int) -> pa.RecordBatch:
     found = [pairs[a:b, 1] for a, b in zip(at[:-1], at[1:], strict=True)]
     digest = [hashlib.sha256(",".join(sorted(map(str, x.tolist()))).encode()).hexdigest() for x in found]
     return pa.record_batch(
-        [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(pairs[:, 1])), pa.array(longest), pa.array(digest, pa.string())],
-        ["doc_id", "n_words", "n_hit", "n_items", "items", "longest_match", "items_sha256"],
+        [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(pairs[:, 1])), pa.array(longest), pa.array(digest, pa.string()), pa.array(item, mask=longest == 0), pa.array(start - words.first[:-1], mask=longest == 0)],
+        ["doc_id", "n_words", "n_hit", "n_items", "items", "longest_match", "items_sha256", "match_item", "match_start"],
     )
 
 
@@ -185,7 +213,10 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: in
 
 
 def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
-    """One row per document: words, hit words, items with occurring windows, and the longest verbatim match in words."""
+    """One row per document: words, hit words, items with occurring windows, and the longest verbatim match: its words, item and first word (from 0).
+
+    Item and first word are null where nothing matches.
+    """
     blocks = benchmark_blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

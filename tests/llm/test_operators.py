@@ -187,6 +187,36 @@ def test_decontamination(spark, docs, none, tables):
     assert longest[14] == 10 and longest[12] == 0
 
 
+def test_decontamination_places_the_longest_match_in_its_item(spark, docs, tables, monkeypatch):
+    def longest(text, items):
+        w, best = brute.words(text), (0, None, None)
+        for item, t in items:
+            v = brute.words(t)
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n and n >= min(8, len(v)):
+                        best = min(best, (-n, i, item), key=lambda x: (x[0], x[1] or 0, x[2] or 0))
+        return -best[0], best[2], best[1]
+
+    r = random.Random(8)
+    some = [(100 + i, " ".join(r.choice("abc") for _ in range(r.randrange(60)))) for i in range(60)] + [(200, "x " + PASSAGE + " y"), (201, "two three four five six seven eight nine ten eleven twelve")]
+    items = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(1, 25)))) for i in range(1, 12)] + [(20, PASSAGE), (21, "eight nine ten"), (22, "three four five six seven eight nine ten eleven")]
+    want = {d: longest(t, items) for d, t in some}
+    assert want[200] == (10, 20, 1) and want[201] == (9, 20, 0)
+    df, bench = spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (32 << 20, 30):
+        assert {x.doc_id: (x.longest_match, x.match_item, x.match_start) for x in decontaminate.find_matches(df, bench, block_bytes=block).collect()} == want
+    block = decontaminate.build_block(*map(list, zip(*items, strict=True)))
+    monkeypatch.setattr(decontaminate, "_PLACES", 50)
+    class Held:
+        value = block
+    few = decontaminate._search(pa.record_batch([pa.array([d for d, _ in some]), pa.array([t for _, t in some])], ["doc_id", "text"]), [Held], 8)
+    assert {x["doc_id"]: (x["longest_match"], x["match_item"], x["match_start"]) for x in few.to_pylist()} == want
+
+
 # ---------------------------------------------------------------- 5 language
 
 
