@@ -157,6 +157,17 @@ def log_state_as_of(spark, d):
     return changes.replay(changes.outcomes(changes.as_of(requests(table(spark, d, "events")), 700)).where("accepted"))
 
 
+def _with_cut(log):
+    """The log with ``_cut``, the lsn at seven tenths of its last one."""
+    return log.crossJoin(F.broadcast(log.agg(F.expr("max(lsn) * 7 div 10").alias("_cut"))))  # one row
+
+
+@query(f"WITH {ACCEPTED_SQL} {newest('a', 'accepted AND lsn <= (SELECT max(lsn) * 7 // 10 FROM r)')}")
+def log_state_as_of_share(spark, d):
+    """A cut that moves with the log's length; log_state_as_of has a fixed one, as its SQL does."""
+    return changes.replay(changes.outcomes(changes.as_of(_with_cut(requests(table(spark, d, "events"))), F.col("_cut"))).where("accepted"))
+
+
 @query(f"WITH {REQUESTS_SQL} SELECT lsn, op, key, value FROM r WHERE lsn > 800")
 def log_tail_after_checkpoint(spark, d):
     return changes.tail(requests(table(spark, d, "events")), 800)
@@ -194,6 +205,13 @@ def log_valid_prefix(spark, d):
     return changes.valid_prefix(requests(table(spark, d, "events")), F.col("lsn") % 499 == 498)
 
 
+@query(f"WITH {REQUESTS_SQL} SELECT lsn, op, key, value FROM r WHERE lsn < coalesce((SELECT min(lsn) FROM r, (SELECT max(lsn) * 7 // 10 AS cut FROM r) WHERE lsn > cut AND (lsn - cut) % 499 = 1), 9223372036854775807)")
+def log_valid_prefix_share(spark, d):
+    """Damage from a place that moves with the log's length; log_valid_prefix has a fixed one, as its SQL does."""
+    log = _with_cut(requests(table(spark, d, "events"))).withColumn("_bad", F.expr("lsn > _cut AND (lsn - _cut) % 499 = 1")).drop("_cut")
+    return changes.valid_prefix(log, F.col("_bad")).select("lsn", "op", "key", "value")
+
+
 @query(f"WITH {REQUESTS_SQL} SELECT op, count(*) AS n, count(*) / (SELECT count(*) FROM r) AS share FROM r GROUP BY op")
 def log_op_counts(spark, d):
     return changes.op_counts(requests(table(spark, d, "events")))

@@ -76,3 +76,12 @@ def test_ycsb_e_depends_on_the_last_orders(spark, tmp_path):
     keys.where("o_orderkey < 2500 or o_orderkey = 4999").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
     got = {r.op: r.delivered for r in catalog.workload_ycsb_e_spread(spark, str(tmp_path)).collect()}
     assert got["scan"] == sum(sum(k < 2500 or k == 4999 for k in range(s, s + 100)) for s in starts) < want
+
+
+def test_cuts_move_with_the_log(spark, tmp_path):
+    for n in (100, 10_000):
+        rows = spark.range(n).selectExpr("id AS event_id", "id AS user_id", "'signup' AS event_type", "id / 2D AS value")
+        rows.write.parquet(f"{tmp_path}/{n}/events.parquet")
+        cut = (n - 1) * 7 // 10
+        for name in ("log_state_as_of_share", "log_valid_prefix_share"):
+            assert sorted(r.lsn for r in catalog.QUERIES[name](spark, f"{tmp_path}/{n}").collect()) == list(range(cut + 1)), name
