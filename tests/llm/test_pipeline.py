@@ -34,7 +34,8 @@ def test_stages(spark, tmp_path):
             assert sorted(d for d, _ in pairs(docs)) == sorted(want)
         elif name == "benchmark_decontamination":
             found = brute.decontaminated(before, benchmark)
-            assert {d for d, _ in pairs(docs)} == {d for d, v in found.items() if v[2] < 2}
+            leaked = {d for d, v in found.items() if v[2]}
+            assert {d for d, _ in pairs(docs)} == {d for d, _ in before} - leaked
         elif name == "pii":
             after = dict(pairs(docs))
             assert len(after) == len(before)
@@ -69,3 +70,22 @@ def test_each_text_of_a_repeated_id_is_judged(spark):
     assert out.columns == docs.columns
     want = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, None), (4, "one of its own"), (None, texts[0])]
     assert sorted(pairs(out), key=str) == sorted(want, key=str)
+
+
+def test_planted_passages_go_and_clean_documents_stay(spark):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    long = [t for _, t in items if len(brute.words(t)) >= 12][:20]
+    assert long
+    plain = " ".join(f"plain{i}" for i in range(60))
+    planted = [(i, f"{plain} {t} {plain}") for i, t in enumerate(long)]
+    part = [(100 + i, f"{plain}, {'-'.join(brute.words(t)[2:10])}; {plain}") for i, t in enumerate(long)]
+    short = [(200 + i, f"{plain} {' '.join(brute.words(t)[2:9])} {plain}") for i, t in enumerate(long)]
+    windows = {tuple(w[i : i + 8]) for _, t in items for w in [brute.words(t)] for i in range(max(1, len(w) - 7))}
+    sizes = {len(w) for w in windows}
+    def clean(text):
+        w = brute.words(text)
+        return not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    short = [(d, t) for d, t in short if clean(t)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in [*planted, *part, *short, (300, plain)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in pipeline.decontamination_stage(spark, docs, SF).collect()} == {d for d, _ in short} | {300}
