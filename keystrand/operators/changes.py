@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..sources.files import written
+from . import reads
 
 
 def outcomes(requests: DataFrame, existing: DataFrame | None = None, column: str = "key", reject: Column | None = None) -> DataFrame:
@@ -77,11 +79,28 @@ def versions(log: DataFrame, value: str = "value", column: str = "key") -> DataF
 
 
 def deltas(value: str, order: str, by: list[str] | None = None) -> Column:
-    """value - previous value of a counter."""
+    """value - previous value of a counter, for groups small enough for one task each; see :func:`counter_deltas`."""
     w = Window.partitionBy(*(by or [])).orderBy(order)
     return F.col(value) - F.lag(value).over(w)
 
 
+def counter_deltas(rows: DataFrame, value: str, order: str, *by: str, name: str = "delta") -> DataFrame:
+    """``rows`` with value - previous value of the group's counter, for groups of any size.
+
+    Rows lie in order of (group, order) over many partitions; the last row of each partition is carried to the next one.
+    """
+    stored = reads.placed(rows, *by, order)
+    stored = written(stored, "deltas").withColumn(reads.PART, F.shiftright(reads.AT, 33))
+    last = stored.groupBy(reads.PART).agg(F.max_by(F.struct(*by, F.col(value).alias("_value")), reads.AT).alias("__end"))
+    carried = last.select(reads.PART, F.lag("__end").over(Window.orderBy(reads.PART)).alias("__carried"))  # one row a partition
+    here = F.lag(F.struct(*by, F.col(value).alias("_value"))).over(Window.partitionBy(reads.PART).orderBy(reads.AT))
+    out = stored.withColumn("__here", here).join(F.broadcast(carried), reads.PART).withColumn("__before", F.coalesce("__here", "__carried"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__before.{c}"))
+    return out.withColumn(name, F.col(value) - F.when(same, F.col("__before._value"))).drop(reads.AT, reads.PART, "__here", "__carried", "__before")
+
+
 def with_checksum(log: DataFrame) -> DataFrame:
     return log.withColumn("crc", codec.record_checksum(F.col("lsn"), F.col("op"), F.col("key"), F.col("value")))
 
@@ -94,8 +113,8 @@ def is_valid() -> Column:
 
 def valid_prefix(log: DataFrame, bad: Column) -> DataFrame:
     """Records before the first bad one, even if good ones follow it."""
-    cut = log.where(bad).agg(F.min("lsn").alias("_cut"))  # one row
-    return log.join(F.broadcast(cut), F.col("_cut").isNull() | (F.col("lsn") < F.col("_cut"))).drop("_cut")
+    cut = log.where(bad).agg(F.min("lsn").alias("__cut"))  # one row
+    return log.join(F.broadcast(cut), F.col("__cut").isNull() | (F.col("lsn") < F.col("__cut"))).drop("__cut")
 
 
 def next_lsn(log: DataFrame) -> int:

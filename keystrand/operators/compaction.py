@@ -36,10 +36,9 @@ def restamp(entries: DataFrame, generation) -> DataFrame:
 def adjacent_duplicates(state: DataFrame, column: str = "key") -> DataFrame:
     """One row: how many keys equal their predecessor in key order (0 for sound state).
 
-    Equal keys are neighbours in any order that groups them, so the window is partitioned by the key.
+    Equal keys are neighbours in any order that groups them, so counts by key tell; they are partial before the shuffle.
     """
-    again = F.row_number().over(Window.partitionBy(column).orderBy(column)) > 1
-    return state.select(again.cast("long").alias("again")).agg(F.coalesce(F.sum("again"), F.lit(0)).cast("long").alias("duplicates"))
+    return state.groupBy(column).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def zone_map(state: DataFrame, zone: Column, column: str = "key") -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..sources.files import written
+from . import reads
 
 # Labels of stores and variants in benchmark names, in report order.
 RIVALS = ("RocksDB", "LMDB", "RocksDB-BlobDB")
@@ -37,15 +41,14 @@ def throughput(events: DataFrame, ts: str, *by: str) -> DataFrame:
 def index_percentiles(df: DataFrame, value: str, by: str, marks: dict[str, int]) -> DataFrame:
     """Element floor(n * p / 1000) of each group's sorted values, for p in thousandths; no interpolation.
 
-    Values are counted first, so a group's work is its distinct values, and running counts find the elements.
+    All values are numbered in order of (group, value) over many partitions, and the wanted numbers are looked up, so a
+    group may be of any size.
     """
-    from pyspark.sql import Window
-
-    counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    seen = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p / 1000), F.col(value))).alias(name) for name, p in marks.items()]
-    return seen.groupBy(by).agg(F.max("n").alias("n"), *picks)
+    rows = reads.numbered(df.select(F.col(by).alias("_by"), F.col(value).alias("_value")).where("_value is not null"), "_by", "_value")
+    groups = rows.groupBy("_by").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    wanted = groups.select("_by", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("mark"), (F.col("first") + F.floor(F.col("n") * p / 1000)).alias("position")) for k, p in marks.items()])).alias("w"))
+    found = wanted.select("_by", "n", "w.mark", "w.position").join(rows.select("position", "_value"), "position")
+    return found.groupBy(F.col("_by").alias(by)).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("mark") == k, F.col("_value"))).alias(k) for k in marks])
 
 
 def name_parts(name: Column) -> list[Column]:
@@ -99,30 +102,70 @@ def nested(rows: DataFrame, outer: str, key: str, value: str) -> DataFrame:
 def lru_hits(accesses: DataFrame, capacity: int, order: str, page: str, *by: str) -> DataFrame:
     """(group..., accesses, hits) of a least-recently-used cache fed in order.
 
-    One cache is one sequential process; groups (caches) run in parallel, and memory is the cache's capacity.
+    A cache holds the ``capacity`` pages seen last, whatever hit or missed.  So ranges of the sequence are counted side by
+    side: each range's last pages are found, the cache at its start is what the ranges before it leave, and every range
+    begins with that.  The pass over the ranges' last pages is the only one in sequence; it takes ``capacity`` pages a range.
     """
     keys = list(by)
-
-    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import OrderedDict
-
-        held: dict[tuple, OrderedDict] = {}
-        counts: dict[tuple, list[int]] = {}
-        for frame in batches:
-            groups = zip(*(frame[k] for k in keys), strict=True) if keys else iter(lambda: (), None)
-            for group, p in zip(groups, frame[page], strict=False):
-                cache, n = held.setdefault(group, OrderedDict()), counts.setdefault(group, [0, 0])
-                n[0] += 1
-                if p in cache:
-                    n[1] += 1
+    cols = [f"_k{i}" for i in range(len(keys))]
+    rows = accesses.select(*[F.col(k).alias(c) for k, c in zip(keys, cols, strict=True)], F.col(order).alias("_order"), F.col(page).alias("_page"))
+    stored = written(reads.placed(rows, *cols, "_order"), "accesses").withColumn(reads.PART, F.shiftright(reads.AT, 33))
+    kinds = "".join(f"{c} {t}, " for c, t in stored.dtypes if c in cols)
+    kind = dict(stored.dtypes)["_page"]
+    latest = stored.groupBy(reads.PART, *cols, "_page").agg(F.max(reads.AT).alias(reads.AT))
+    recent = latest.withColumn("_n", F.row_number().over(Window.partitionBy(reads.PART, *cols).orderBy(F.desc(reads.AT)))).where(F.col("_n") <= capacity)
+
+    def carry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cache at the end of each range, as the rows the next range of the group begins with."""
+        cache: OrderedDict = OrderedDict()
+        group, part, out = None, None, []
+
+        def leave(to: int) -> None:
+            out.extend((to, *group, i - len(cache), p) for i, p in enumerate(cache))
+
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                mine = tuple(getattr(r, f"c{i}") for i in range(len(cols)))
+                if mine != group:
+                    cache.clear()
+                elif r.part != part:
+                    leave(r.part)
+                group, part = mine, r.part
+                cache.pop(r.page, None)
+                cache[r.page] = None
+                if len(cache) > capacity:
+                    cache.popitem(last=False)
+            if out:
+                yield pd.DataFrame(out, columns=[reads.PART, *cols, reads.AT, "_page"])
+                out = []
+
+    ordered = recent.select(F.col(reads.PART).alias("part"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)], F.col("_page").alias("page"), F.col(reads.AT).alias("at"))
+    names = [f"c{i}" for i in range(len(cols))]
+    ordered = (ordered.repartition(*names) if names else ordered.coalesce(1)).sortWithinPartitions(*names, "part", "at")
+    warm = ordered.mapInPandas(carry, f"{reads.PART} long, {kinds}{reads.AT} long, _page {kind}")
+
+    def simulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: OrderedDict = OrderedDict()
+        at, counts = None, defaultdict(lambda: [0, 0])
+        for frame in frames:
+            groups = zip(*(frame[c] for c in cols), strict=True) if cols else repeat(())
+            for part, group, place, p in zip(frame[reads.PART], groups, frame[reads.AT], frame["_page"], strict=False):
+                if (part, group) != at:
+                    at = (part, group)
+                    cache.clear()
+                    n = counts[group]
+                hit = p in cache
+                if place >= 0:
+                    n[0] += 1
+                    n[1] += hit
+                if hit:
                     cache.move_to_end(p)
                 else:
                     cache[p] = None
                     if len(cache) > capacity:
                         cache.popitem(last=False)
-        yield pd.DataFrame([[*g, *n] for g, n in counts.items()], columns=[*keys, "accesses", "hits"])
+        yield pd.DataFrame([[*g, *n] for g, n in counts.items()], columns=[*cols, "accesses", "hits"])
 
-    rows = accesses.select(*keys, order, page)
-    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, order)
-    kinds = "".join(f"{k} {t}, " for k, t in rows.dtypes if k in keys)
-    return rows.mapInPandas(simulate, f"{kinds}accesses long, hits long")
+    every = stored.select(reads.PART, *cols, reads.AT, "_page").union(warm)
+    parts = every.repartition(reads.PART).sortWithinPartitions(reads.PART, *cols, reads.AT).mapInPandas(simulate, f"{kinds}accesses long, hits long")
+    return parts.groupBy(*[F.col(c).alias(k) for k, c in zip(keys, cols, strict=True)]).agg(F.coalesce(F.sum("accesses"), F.lit(0)).alias("accesses"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
+AT, PART, SHIFT = "__at", "__part", "__shift"
+
 
 def get(state: DataFrame, key, column: str = "key") -> DataFrame:
     """The row of one key, or none."""
@@ -54,16 +58,29 @@ def after(state: DataFrame, last, n: int = 100, column: str = "key") -> DataFram
     return state.where(F.col(column) > F.lit(last)).orderBy(column).limit(n)
 
 
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """Rows range-partitioned and sorted, with partition and place in ``AT``.
+
+    To be written before it is used: bounds are sampled and partitions coalesced for each evaluation, so two evaluations
+    needn't agree on where a row lies.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(AT, F.monotonically_increasing_id())
+
+
+def positions(stored: DataFrame, name: str = "position") -> DataFrame:
+    """Dense numbers from 1 in the order in which :func:`placed` rows were written; only one count a partition meets in one place."""
+    sizes = stored.groupBy(F.shiftright(AT, 33).alias(PART)).agg(F.count("*").alias("_n"), F.min(AT).alias("_low"))
+    shift = sizes.select(PART, (F.sum("_n").over(Window.orderBy(PART)) - F.col("_n") - F.col("_low") + 1).alias(SHIFT))
+    # one row a partition
+    return stored.withColumn(PART, F.shiftright(AT, 33)).join(F.broadcast(shift), PART).withColumn(name, (F.col(AT) + F.col(SHIFT)).cast("long")).drop(AT, PART, SHIFT)
+
+
 def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     """Dense numbers from 1 in the given order, without bringing all rows into one task.
 
-    Rows are range-partitioned and sorted; only one count a partition meets in one place.
+    The ordered rows are written to shared storage once, and what was written is counted and numbered.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_id"))
-    placed = placed.select("*", F.shiftright("_id", 33).alias("_part"))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
-    ahead = sizes.select("_part", "_low", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
-    return placed.join(ahead, "_part").withColumn(name, (F.col("_id") - F.col("_low") + F.col("_ahead") + 1).cast("long")).drop("_id", "_part", "_low", "_ahead")
+    return positions(written(placed(df, *order), "numbered"), name)
 
 
 def paginate(state: DataFrame, size: int = 100, column: str = "key") -> DataFrame:
@@ -76,11 +93,14 @@ def paginate(state: DataFrame, size: int = 100, column: str = "key") -> DataFram
 def range_probe(probes: DataFrame, state: DataFrame, column: str, length: int = 100) -> DataFrame:
     """(start, n, low, high) of the keys in start .. start+length-1 for every probe over integer keys.
 
-    The range is exploded into an equi-join, so each probe costs ``length`` hash probes and no range join is planned.
-    Probes without a key are left out.
+    A range of ``length`` keys touches two blocks of that width, so each probe is two rows of an equi-join on the block, and
+    no range join is planned.  Probes without a key are left out.
     """
-    wanted = probes.select("start", F.explode(F.sequence(F.col("start"), F.col("start") + (length - 1))).alias(column))
-    return wanted.join(state.select(column), column).groupBy("start").agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+    block = F.floor(F.col("start") / length)
+    wanted = probes.select("start", F.explode(F.array(block, block + 1)).alias("_block"))
+    keys = state.select(F.col(column).alias("_key"), F.floor(F.col(column) / length).alias("_block"))
+    found = wanted.join(keys, "_block").where((F.col("_key") >= F.col("start")) & (F.col("_key") < F.col("start") + length))
+    return found.groupBy("start").agg(F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
 
 
 def dereference(index: DataFrame, values: DataFrame) -> DataFrame:

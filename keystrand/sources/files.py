@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import suppress
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Files:
@@ -50,10 +50,27 @@ class Files:
         self.fs.delete(self._path(name), True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority of its file system, Hadoop's default one where it names none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``.  Only a local master may go without; elsewhere that is an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/keystrand-scratch"
+    return qualified(spark, root).rstrip("/")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or below a local folder where that is unset; removed when Python ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/keystrand-scratch"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below :func:`shared_folder`; removed when Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def clean() -> None:
         with suppress(Exception):
@@ -61,3 +78,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     atexit.register(clean)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to shared storage and read back: evaluated once, however often the result is used."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -55,13 +55,13 @@ def test_latest_state_sums_in_tasks_before_the_shuffle(spark):
 
 
 def test_range_probe_takes_every_customer(spark, db):
-    got = {r.start for r in catalog.QUERIES["kv_range_probe_all"](spark, SF).collect()}
+    got = {r.start for r in catalog.QUERIES["kv_range_probe"](spark, SF).collect()}
     last = db.sql("SELECT max(o_orderkey) FROM orders").fetchall()[0][0]
     assert got == {c * 10 for (c,) in db.sql("SELECT c_custkey FROM customer").fetchall() if c * 10 <= last} and max(got) > 990
 
 
 def test_second_buckets_count_every_event(spark, db):
-    got = catalog.QUERIES["ts_second_buckets_all"](spark, SF).collect()
+    got = catalog.QUERIES["ts_second_buckets"](spark, SF).collect()
     assert sum(r.n for r in got) == db.sql("SELECT count(*) FROM events").fetchall()[0][0] and max(r.sec for r in got) > 86400
 
 
@@ -71,10 +71,10 @@ def test_ycsb_e_depends_on_the_last_orders(spark, tmp_path):
     keys.write.parquet(f"{tmp_path}/orders.parquet")
     starts = [i * 2654435761 % 5000 for i in range(1000) if i % 20 != 19]
     want = sum(min(100, 5000 - s) for s in starts)
-    got = {r.op: (r.n, r.delivered) for r in catalog.workload_ycsb_e_spread(spark, str(tmp_path)).collect()}
+    got = {r.op: (r.n, r.delivered) for r in catalog.workload_ycsb_e(spark, str(tmp_path)).collect()}
     assert got == {"insert": (50, 0), "scan": (950, want)}
     keys.where("o_orderkey < 2500 or o_orderkey = 4999").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
-    got = {r.op: r.delivered for r in catalog.workload_ycsb_e_spread(spark, str(tmp_path)).collect()}
+    got = {r.op: r.delivered for r in catalog.workload_ycsb_e(spark, str(tmp_path)).collect()}
     assert got["scan"] == sum(sum(k < 2500 or k == 4999 for k in range(s, s + 100)) for s in starts) < want
 
 
@@ -83,5 +83,5 @@ def test_cuts_move_with_the_log(spark, tmp_path):
         rows = spark.range(n).selectExpr("id AS event_id", "id AS user_id", "'signup' AS event_type", "id / 2D AS value")
         rows.write.parquet(f"{tmp_path}/{n}/events.parquet")
         cut = (n - 1) * 7 // 10
-        for name in ("log_state_as_of_share", "log_valid_prefix_share"):
-            assert sorted(r.lsn for r in catalog.QUERIES[name](spark, f"{tmp_path}/{n}").collect()) == list(range(cut + 1)), name
+        for name, last in (("log_state_as_of", cut), ("log_valid_prefix", cut - 1)):
+            assert sorted(r.lsn for r in catalog.QUERIES[name](spark, f"{tmp_path}/{n}").collect()) == list(range(last + 1)), name

@@ -1,9 +1,11 @@
 """Measurements, result files, workload generators and streams."""
 
 import json
+import random
 from collections import OrderedDict
 
-from keystrand.operators import measure, reads, workload
+import pytest
+from keystrand.operators import changes, measure, reads, workload
 from keystrand.plans import catalog
 from keystrand.sources import results
 from keystrand.streaming import replay
@@ -36,6 +38,50 @@ def test_lru(spark):
     assert measure.lru_hits(df, 3, "i", "p").first() == (len(pages), hits)
 
 
+def test_lru_over_many_ranges_and_groups(spark):
+    r = random.Random(3)
+    steps = [(i, r.choice("ab"), int(r.paretovariate(0.7)) % 60) for i in range(4000)]
+    df = spark.createDataFrame(steps, "i long, g string, p long").repartition(7)
+
+    def plain(rows, capacity):
+        cache, hits = OrderedDict(), 0
+        for _, _, p in rows:
+            hits += p in cache
+            cache.pop(p, None)
+            cache[p] = 1
+            if len(cache) > capacity:
+                cache.popitem(last=False)
+        return len(rows), hits
+
+    for capacity in (1, 5, 30, 1000):
+        assert tuple(measure.lru_hits(df, capacity, "i", "p").first()) == plain(steps, capacity)
+        got = {x.g: (x.accesses, x.hits) for x in measure.lru_hits(df, capacity, "i", "p", "g").collect()}
+        assert got == {g: plain([s for s in steps if s[1] == g], capacity) for g in "ab"}
+    assert tuple(measure.lru_hits(df.where("false"), 3, "i", "p").first()) == (0, 0)
+
+
+def test_deltas_of_groups_that_span_partitions(spark):
+    r = random.Random(4)
+    steps = [(i, None if i % 97 == 0 else r.choice("abc") if i % 3 else "hot", None if i % 31 == 0 else float(r.randrange(100))) for i in range(3000)]
+    df = spark.createDataFrame(steps, "i long, g string, x double").repartition(5)
+    last, want = {}, {}
+    for i, g, x in steps:
+        before = last.get(g)
+        want[i] = None if x is None or before is None else x - before
+        last[g] = x
+    assert {x.i: x.delta for x in changes.counter_deltas(df, "x", "i", "g").collect()} == want
+    total = {x.i: x.delta for x in changes.counter_deltas(df, "x", "i").collect()}
+    assert all(total[i] == (None if i == 0 or None in (steps[i][2], steps[i - 1][2]) else steps[i][2] - steps[i - 1][2]) for i in range(3000))
+
+
+def test_range_probe_equals_brute_force(spark):
+    r = random.Random(5)
+    keys, starts = sorted(r.sample(range(-500, 3000), 700)), [r.randrange(-700, 3100) for _ in range(200)]
+    got = {x.start: (x.n, x.low, x.high) for x in reads.range_probe(spark.createDataFrame([(s,) for s in set(starts)], "start long"), spark.createDataFrame([(k,) for k in keys], "k long"), "k", 37).collect()}
+    inside = {s: [k for k in keys if s <= k < s + 37] for s in starts}
+    assert got == {s: (len(v), v[0], v[-1]) for s, v in inside.items() if v}
+
+
 def test_winner_ties_take_the_first_label(spark):
     df = spark.createDataFrame([("w", "n1", 5.0, True), ("w", "n0", 5.0, True), ("w", "r", 4.0, False), ("v", "n0", 1.0, True)], "w string, label string, value double, native boolean")
     got = {r.w: (r.native_label, r.rival_label, r.ratio, r.badge) for r in measure.winners(df, F.col("native"), "w").collect()}
@@ -83,6 +129,22 @@ def test_numbers_are_dense_and_ordered(spark):
     assert reads.numbered(df.where("x < 0"), "x").count() == 0
 
 
+@pytest.mark.parametrize("parts,adaptive", [(16, "true"), (16, "false"), (3, "true")])
+def test_numbers_of_wide_rows(spark, parts, adaptive):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        df = spark.range(n).select(((F.col("id") * 7919) % n).alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("wide"), F.col("id"))
+        rows = reads.numbered(df, "x")
+        assert rows.columns == ["x", "wide", "id", "position"]
+        assert tuple(rows.agg(F.count("*"), F.countDistinct("position"), F.min("position"), F.max("position"), F.sum((F.col("position") != F.col("x") + 1).cast("int")), F.countDistinct("wide")).first()) == (n, n, 1, n, 0, n)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_micro_batches_equal_one_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     for i in range(4):

@@ -145,3 +145,86 @@ def test_hashes_and_layouts(spark):
     assert [one(codec.inline_size(codec.embed(F.lit(5).cast("long"), F.lit(n)))) for n in (1, 7, 8)] == [1, 7, 8]
     assert one(codec.prefix16(F.lit(b"ab"))) == "6162" + "0" * 28
     assert [len(one(codec.scrambled_value(F.lit(i).cast("long"), 20))) for i in (0, 1)] == [8, 20]
+
+
+@pytest.mark.parametrize("parts,adaptive", [(16, "true"), (16, "false"), (5, "true")])
+def test_every_request_of_a_large_batch_is_answered(spark, tmp_path, parts, adaptive):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 300_000
+        key = F.concat(codec.int_key((F.col("id") * 7919) % n), F.lit(b"k" * 56))
+        store = KeyedStore(spark, f"file://{tmp_path}/s")
+        done = store.apply(spark.range(n).select(F.col("id").alias("seq"), F.lit("insert").alias("op"), key.alias("key"), codec.int_value(F.col("id")).alias("value")))
+        assert done.agg(F.count("*"), F.countDistinct("seq"), F.sum(F.col("accepted").cast("int"))).first() == (n, n, n)
+        assert store.state().agg(F.count("*"), F.countDistinct("key")).first() == (n, n)
+        assert store.log().agg(F.min("lsn"), F.max("lsn"), F.countDistinct("lsn")).first() == (1, n, n)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_writes_after_damage_are_kept(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store = KeyedStore(spark, path)
+    store.apply(ask(spark, *[("insert", b"k%d" % i, b"v") for i in range(6)]))
+    (batch,) = store.files.names("log")
+    at = f"{path}/log/{batch}"
+    hurt = spark.read.parquet(at).withColumn("value", F.when(F.col("lsn") == 4, F.lit(b"w")).otherwise(F.col("value")))
+    hurt.write.parquet(f"{path}/log/a=000000000007")
+    store.files.delete(f"log/{batch}")
+    again = KeyedStore(spark, path)
+    assert [k for k, _ in rows(again.scan(b"", b"z"))] == [b"k0", b"k1", b"k2"]
+
+    def crash():
+        raise RuntimeError("power cut")
+
+    again.hooks["before_cut"] = crash
+    with pytest.raises(RuntimeError):
+        again.apply(ask(spark, ("insert", b"new", b"1")))
+    again = KeyedStore(spark, path)
+    assert [k for k, _ in rows(again.scan(b"", b"z"))] == [b"k0", b"k1", b"k2"]
+    assert outcome(again, ask(spark, ("insert", b"k4", b"1"), ("insert", b"k0", b"2"), ("update", b"k2", b"3"))) == [True, False, True]
+    want = [(b"k0", b"v"), (b"k1", b"v"), (b"k2", b"3"), (b"k4", b"1")]
+    assert rows(again.scan(b"", b"z")) == want and rows(KeyedStore(spark, path).scan(b"", b"z")) == want
+    assert outcome(KeyedStore(spark, path), ask(spark, ("delete", b"k4", None))) == [True]
+    last = KeyedStore(spark, path)
+    last.checkpoint()
+    assert rows(KeyedStore(spark, path).scan(b"", b"z")) == want[:3]
+
+
+def test_only_committed_batches_count(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store = KeyedStore(spark, path)
+    store.apply(ask(spark, ("insert", b"a", b"1")))
+    store.apply(ask(spark, ("insert", b"b", b"1")))
+    last = store.files.names("log")[-1]
+    store.files.delete(f"log/{last}/_SUCCESS")
+    again = KeyedStore(spark, path)
+    assert rows(again.scan(b"", b"z")) == [(b"a", b"1")]
+    assert outcome(again, ask(spark, ("insert", b"b", b"2"))) == [True]
+    assert rows(KeyedStore(spark, path).scan(b"", b"z")) == [(b"a", b"1"), (b"b", b"2")]
+
+
+def test_snapshot_content_is_checked(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store = KeyedStore(spark, path)
+    rows_of = lambda f: spark.range(50).select(codec.int_key(F.col("id")).alias("key"), codec.int_value(f(F.col("id"))).alias("value"))
+    store.bulk_load(rows_of(lambda i: i))
+    store.verify()
+    rows_of(lambda i: i + 1).write.mode("overwrite").parquet(store.manifest["base"])
+    with pytest.raises(StoreError):
+        KeyedStore(spark, path).verify()
+
+
+def test_clone_carries_what_no_checkpoint_holds(spark, tmp_path):
+    store = KeyedStore(spark, f"file://{tmp_path}/s")
+    store.apply(ask(spark, ("insert", b"a", b"1"), ("insert", b"b", b"1")))
+    store.checkpoint()
+    store.apply(ask(spark, ("delete", b"a", None), ("insert", b"c", b"2")))
+    twin = store.clone(f"file://{tmp_path}/t")
+    assert rows(twin.scan(b"", b"z")) == rows(store.scan(b"", b"z")) == [(b"b", b"1"), (b"c", b"2")]
+    assert outcome(twin, ask(spark, ("insert", b"a", b"9"))) == [True] and store.get(b"a") is None
+    twin.checkpoint()
+    assert rows(KeyedStore(spark, f"file://{tmp_path}/t").scan(b"", b"z")) == [(b"a", b"9"), (b"b", b"1"), (b"c", b"2")]
