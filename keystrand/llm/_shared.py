@@ -15,21 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees, as a URI: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_keystrand_root", None)
-        if root is None:
-            root = spark.sparkContext._keystrand_root = "file://" + tempfile.mkdtemp(prefix="keystrand-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root if "://" in root else f"file://{root}"
+from ..sources.files import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below :func:`shared_root`; what is left of it goes when the driver's Python ends."""
-    path = f"{shared_root(spark).rstrip('/')}/keystrand/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder; what is left of it goes when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/keystrand/{name}-{uuid.uuid4().hex}"
     atexit.register(lambda: _quietly(spark, path))
     return path
 

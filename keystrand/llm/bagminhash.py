@@ -10,9 +10,13 @@ Scale.  Texts with equal words collapse to one representative first (a partial a
 representative is compared with two leaders; verified links give components, and only what is still in different
 components of one bucket is compared further, in blocks.  Nothing is dropped: see :func:`near_duplicates`.
 
+Verification counts shingles by 32 bits of their hashes, so it is exact up to collisions: two texts of n words share about
+n * n / 2^32 shingles by chance, a thousandth of a shingle at 2,000 words and a tenth at 20,000.
+
 Edge cases: null texts are classes of their own; texts without words are duplicates only of equal texts; texts of one to
-four words are one shingle; rows that repeat an id count as one document if the text is equal, else as the text whose
-hash is smaller; null ids are left out of the result.
+four words are one shingle; very long texts are described whole, one at a time; rows that repeat an id count as one document
+if the text is equal, however often, else as the text whose hash is smaller; null ids are left out of the result; ties in
+similarity at the threshold are links; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from ._words import U, Words, buffers, chunks, mix, shingles, span, split_words,
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
+HOT = 4096  # keys that hold a 4096th of all rows or more, of which there are at most so many
+_SEEN = 100_000
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -127,9 +133,18 @@ def _describe(batch: pa.RecordBatch, bands: int, rows: int) -> pa.RecordBatch:
 
 def describe(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows that repeat an id and a text are described once for as long as the task remembers; what is left goes in a join
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
             for part in chunks(batch):
-                yield _describe(part, bands, rows)
+                found = _describe(part, bands, rows)
+                new = []
+                for key in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
+                    new.append(key not in seen)
+                    seen.add(key)
+                if len(seen) > _SEEN:
+                    seen.clear()
+                yield found if all(new) else found.filter(pa.array(new))
 
     texts = plain(documents, "doc_id", "text").where("doc_id is not null and text is not null")
     return arrow(texts, run, "doc_id long, key1 long, key2 long, weight long, bands array<long>, shingles binary")
@@ -260,6 +275,17 @@ def _large_buckets(members: DataFrame, held: DataFrame, threshold: float, block:
     return both.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _hot_join(rows: DataFrame, keys: DataFrame, on: list[str], share: int = HOT) -> DataFrame:
+    """``rows`` inner-joined to ``keys`` (unique on ``on``, with the number ``n`` of their rows), whatever share of the rows one key holds.
+
+    At most ``share`` keys can hold that part of all rows: these are broadcast, so their rows stay where they are; the others are merged.
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = keys.where(F.col("n") * share >= total)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col("n") * share < total).hint("merge"), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = 32) -> DataFrame:
     """One row per document: ``doc_id``, ``exact_id`` (least id with the same words), ``class_id`` (least id of the class).
 
@@ -270,18 +296,18 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     """
     spark = documents.sparkSession
     described, path = table(describe(documents, bands, rows), "bands")
-    member = described.groupBy("doc_id").agg(F.min(F.struct("key1", "key2")).alias("k")).select("doc_id", "k.*")
-    member, member_path = table(member.join(member.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), ["key1", "key2"]).select("doc_id", "rep", "key1", "key2"), "members")
-    heads = member.where("doc_id = rep").select("rep", F.col("key1").alias("k1"), F.col("key2").alias("k2"))
+    member, member_path = table(described.groupBy("doc_id").agg(F.min(F.struct("key1", "key2")).alias("k")).select("doc_id", "k.*"), "members")
+    heads, heads_path = table(member.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "heads")
 
     def one_row(rows: DataFrame, of: DataFrame) -> DataFrame:
-        """A repeated id with another text is described twice; the class keys pick its one row."""
-        return rows.join(of, (F.col("doc_id") == F.col("rep")) & (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")))
+        """The description of each representative, once: a repeated id may have another text too, and equal rows are described in several tasks."""
+        of = of.select("rep", F.col("key1").alias("k1"), F.col("key2").alias("k2"))
+        return rows.join(of, (F.col("doc_id") == F.col("rep")) & (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2"))).dropDuplicates(["doc_id", "key1", "key2"])
 
-    sets = one_row(described, heads)
-    keyed = sets.where("weight > 0").select("rep", F.explode("bands").alias("bucket"))
+    keyed = one_row(described, heads).where("weight > 0").select("rep", F.explode("bands").alias("bucket"))
     full = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.min(F.struct(F.xxhash64("rep", "bucket"), "rep")).alias("other")).where("n > 1").select("bucket", "n", "lead", F.col("other.rep").alias("other"))
-    buckets, bucket_path = table(keyed.join(full, "bucket"), "buckets")
+    full, full_path = table(full, "full")
+    buckets, bucket_path = table(_hot_join(keyed, full, ["bucket"]), "buckets")
     stars = buckets.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     # what could be compared is picked before the multisets move, and they move once; the ids grow with the input, so no side is broadcast
     wanted = heads.join(buckets.select("rep").distinct(), "rep").hint("merge")
@@ -290,18 +316,20 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, bands: i
     links, links_path = table(_verified(stars, held, threshold), "links")
     roots, roots_path = table(components(links), "roots")
     placed = buckets.join(roots, buckets.rep == roots.node, "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_, open_path = table(placed.join(mixed, "bucket"), "open")
+    mixed, mixed_path = table(placed.groupBy("bucket").agg(F.max("n").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "n"), "mixed")
+    open_, open_path = table(_hot_join(placed.drop("n"), mixed, ["bucket"]), "open")
     few = open_.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list(F.struct("rep", "root")).alias("m"))
     few = few.select(F.explode("m").alias("x"), "m").select(F.col("x"), F.explode("m").alias("y")).where("x.root <> y.root and x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     few = few.join(stars, ["a", "b"], "left_anti")
-    found = _verified(few, held, threshold).union(_large_buckets(open_.where(F.col("n") > small), held, threshold))
+    found = _verified(few, held, threshold).union(_large_buckets(open_.where(F.col("n") > small).select("bucket", "n", "rep", "root"), held, threshold))
     found, found_path = table(found, "links")
     if not found.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-    out = member.join(roots, member.rep == roots.node, "left").select("doc_id", F.col("rep").alias("exact_id"), F.coalesce("root", "rep").alias("class_id"))
+    classes = heads.join(roots, heads.rep == roots.node, "left").select("key1", "key2", "n", F.col("rep").alias("exact_id"), F.coalesce("root", "rep").alias("class_id"))
+    classes, classes_path = table(classes, "heads")
+    out = _hot_join(member, classes, ["key1", "key2"]).select("doc_id", "exact_id", "class_id")
     lone = plain(documents, "doc_id", "text").where("doc_id is not null").groupBy("doc_id").agg(F.count("text").alias("n")).where("n = 0").select("doc_id", F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("class_id"))
     result, _ = table(out.union(lone), "classes")
-    for p in (member_path, bucket_path, held_path, links_path, roots_path, open_path, found_path):
+    for p in (member_path, heads_path, full_path, bucket_path, held_path, links_path, roots_path, mixed_path, open_path, found_path, classes_path):
         delete(spark, p)
     return result

@@ -360,6 +360,43 @@ def test_near_duplicates(spark, docs, none, tables):
     assert blocks == real
 
 
+def test_repeated_rows_are_compared_once(spark):
+    a = " ".join(f"w{i}" for i in range(200))
+    pair = [(1, a), (2, a + " tail")]
+    want = {1: (1, 1), 2: (2, 1), 3: (3, 3)}
+
+    def classes(times):
+        df = spark.createDataFrame([*pair, (3, "else " * 9)], "doc_id long, text string").join(spark.range(times).select(F.lit(1)), how="cross").repartition(4)
+        start = time.process_time()
+        compared = []
+        real = bagminhash._verified
+
+        def counted(pairs, sets, threshold):
+            compared.append(sets.count())
+            return real(pairs, sets, threshold)
+
+        bagminhash._verified = counted
+        try:
+            got = {r.doc_id: (r.exact_id, r.class_id) for r in bagminhash.near_duplicates(df).collect()}
+        finally:
+            bagminhash._verified = real
+        return got, compared, time.process_time() - start
+
+    for times in (1, 1000):
+        got, compared, _ = classes(times)
+        assert got == want and max(compared) <= 3, (times, compared)
+
+
+def test_classes_where_one_key_holds_most_rows(spark):
+    r = random.Random(6)
+    base = [f"t{i}" for i in range(120)]
+    texts = [" ".join(base)] * 3000 + [" ".join([*base, f"extra{i}"]) for i in range(1500)] + [" ".join(f"u{i}x{k}" for k in range(30)) for i in range(800)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    got = {x.doc_id: x.class_id for x in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {i: 0 if i < 4500 else i for i in range(len(texts))}
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(1)
     a = r.integers(0, 6, 400)
