@@ -5,27 +5,39 @@ can start (first word and first word pair occur in the benchmark; any other suff
 ``window`` words.  Every distinct benchmark suffix of ``window`` words is binary-searched in every shard; the slots found
 are the verbatim occurrences.  A document lives in one shard, so nothing is shuffled and no group meets in one task.
 
+A chunk looks only at the benchmark windows whose first words occur in it, so its work follows the chunk and not the
+benchmark.  Benchmarks are built into blocks of at most ``block_bytes`` of text by tasks of their own, written to shared
+storage and loaded by the workers, which hold a bounded number of bytes of them; nothing of a benchmark passes the driver.
+
 Edge cases: null and wordless texts have no words and are never contaminated; a benchmark item without words is ignored;
 an item with fewer words than the window is one shorter window; repeated documents give repeated rows; repeated items
-(same id) count once; rows without an item id are ignored.  Benchmarks above ``block_bytes`` of text are searched in
-blocks, one broadcast each, so the size of a broadcast does not grow with the benchmark.
+(same id) count once; rows without an item id are ignored; a very long text is a chunk by itself; of equally long longest
+matches the first in the document counts, then the least item; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._shared import arrow, plain
+from ._shared import arrow, plain, scratch
 from ._words import CHUNK_BYTES, U, chunks, mix, split_words
+from .archives import filesystem
 
 WINDOW = 8
-_FILTER_BITS = 20
+BLOCK_BYTES = 8 << 20
+HELD_BYTES = 384 << 20  # blocks a worker keeps
+HEAD = 4  # words by which windows are looked up
+_FILTER_BITS = (20, 26)
 _PLACES = 2_000_000  # pairs of a hit and its place in an item that are extended at once, or one document's
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items array<long>, longest_match long, items_sha256 string, match_item long, match_start long"
 
@@ -43,12 +55,25 @@ class Block:
     text: np.ndarray  # number of the item's text
     offset: np.ndarray  # first word in it
     ids: np.ndarray  # item of each text
+    heads: np.ndarray  # sorted hashes of the windows' first HEAD words
+    head_of: np.ndarray  # the window of each
     words: np.ndarray  # filter over word hashes
     starts: np.ndarray  # filter over first words and word pairs
 
+    @property
+    def nbytes(self) -> int:
+        return sum(getattr(self, f.name).nbytes for f in fields(self))
+
+
+def _slot(x: np.ndarray, size: int) -> np.ndarray:
+    return (x >> U(65 - size.bit_length())).astype(np.int64)
 
-def _slot(x: np.ndarray) -> np.ndarray:
-    return (x >> U(64 - _FILTER_BITS)).astype(np.int64)
+
+def _filter(x: np.ndarray) -> np.ndarray:
+    low, high = _FILTER_BITS
+    out = np.zeros(1 << min(max(low, (16 * len(x)).bit_length()), high), bool)
+    out[_slot(x, len(out))] = True
+    return out
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,30 +81,77 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * U(0x9E3779B97F4A7C15) + b)
 
 
+def _head(ids: np.ndarray, words: int = HEAD) -> np.ndarray:
+    """Hash of the first ``words`` ids of each row, as if zeros followed."""
+    out = np.zeros(len(ids), U)
+    for k in range(min(HEAD, ids.shape[1])):
+        out = _pair(out, ids[:, k].astype(U) if k < words else np.zeros(len(ids), U))
+    return out
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in lexicographic order, and the number of each row among them."""
+    order = np.lexsort(rows.T[::-1])
+    ordered = rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (ordered[1:] != ordered[:-1]).any(1)
+    which = np.empty(len(rows), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], which
+
+
 def build_block(item_ids: list[int], texts: list[str | None], window: int = WINDOW) -> Block:
     words = split_words(pa.array(texts, pa.string()))
     vocabulary, ids = np.unique(words.hash, return_inverse=True)
-    ids = np.append(ids + 1, np.zeros(window, np.int64))
+    ids = np.append(ids + 1, np.zeros(window, np.int64)).astype(np.int32)
     count = np.diff(words.first)
     each = np.where(count >= window, count - window + 1, (count > 0).astype(np.int64))
     owner = np.repeat(np.arange(len(count)), each)
     at = words.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
     size = np.minimum(count[owner], window)
-    rows = ids[at[:, None] + np.arange(window)] * (np.arange(window) < size[:, None])
-    keys, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
-    which = which.reshape(-1)
-    pairs = np.unique(np.stack([which, np.asarray(item_ids, np.int64)[owner]], 1), axis=0)
+    keys, which = _distinct(ids[at[:, None] + np.arange(window)] * (np.arange(window) < size[:, None]))
+    pairs, _ = _distinct(np.stack([which, np.asarray(item_ids, np.int64)[owner]], 1))
     by = np.argsort(which, kind="stable")
     hashes = np.append(words.hash, np.zeros(1, U))
-    in_words, in_starts = np.zeros(1 << _FILTER_BITS, bool), np.zeros(1 << _FILTER_BITS, bool)
-    in_words[_slot(words.hash)] = True
-    in_starts[_slot(np.where(size > 1, _pair(hashes[at], hashes[np.minimum(at + 1, len(words.hash))]), hashes[at]))] = True
+    starts = np.where(size > 1, _pair(hashes[at], hashes[np.minimum(at + 1, len(words.hash))]), hashes[at])
+    heads = _head(keys)
+    head_of = np.argsort(heads, kind="stable")
     return Block(
         vocabulary, keys, (keys > 0).sum(1), np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1)), pairs[:, 1],
-        np.searchsorted(which[by], np.arange(len(keys) + 1)), owner[by], (at - words.first[owner])[by], np.asarray(item_ids, np.int64), in_words, in_starts,
+        np.searchsorted(which[by], np.arange(len(keys) + 1)), owner[by], (at - words.first[owner])[by], np.asarray(item_ids, np.int64),
+        heads[head_of], head_of, _filter(vocabulary), _filter(np.unique(starts)),
     )
 
 
+def save_block(block: Block, folder: str) -> str:
+    """Write a block under a name of its own; the URI."""
+    fs, path = filesystem(folder)
+    fs.create_dir(path, recursive=True)
+    name, out = uuid.uuid4().hex, io.BytesIO()
+    np.savez(out, **{f.name: getattr(block, f.name) for f in fields(block)})
+    with fs.open_output_stream(f"{path}/{name}.npz") as f:
+        f.write(out.getbuffer())
+    return f"{folder.rstrip('/')}/{name}.npz"
+
+
+_held: OrderedDict[str, Block] = OrderedDict()
+
+
+def load_block(block: str | Block) -> Block:
+    """A block by its URI; a worker keeps the last ones, up to HELD_BYTES or one."""
+    if isinstance(block, Block):
+        return block
+    if block not in _held:
+        fs, path = filesystem(block)
+        with fs.open_input_stream(path) as f:
+            arrays = np.load(io.BytesIO(f.read()))
+            _held[block] = Block(**{f.name: arrays[f.name] for f in fields(Block)})
+        while len(_held) > 1 and sum(b.nbytes for b in _held.values()) > HELD_BYTES:
+            _held.popitem(last=False)
+    _held.move_to_end(block)
+    return _held[block]
+
+
 def _bisect(sorted_keys: np.ndarray, probes: np.ndarray, right: bool) -> np.ndarray:
     """searchsorted for rows of words, for all probes at once."""
     low, high = np.zeros(len(probes), np.int64), np.full(len(probes), len(sorted_keys), np.int64)
@@ -97,7 +169,7 @@ def _bisect(sorted_keys: np.ndarray, probes: np.ndarray, right: bool) -> np.ndar
 def occurrences(hashes: np.ndarray, text_end: np.ndarray, block: Block, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(word position, window number) of every occurrence; text_end: for each word, the number of its text's last word + 1."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = block.words[_slot(hashes)]
+    known = block.words[_slot(hashes, len(block.words))]
     position = np.flatnonzero(known)
     if not len(position) or not len(block.keys):
         return none
@@ -106,7 +178,8 @@ def occurrences(hashes: np.ndarray, text_end: np.ndarray, block: Block, window:
     ids[position] = np.where(block.vocabulary[place] == hashes[position], place + 1, 0)
     following = np.append(hashes[1:], U(0))
     position = position[ids[position] > 0]
-    may = block.starts[_slot(hashes[position])] | block.starts[_slot(_pair(hashes[position], following[position]))]
+    bits = len(block.starts)
+    may = block.starts[_slot(hashes[position], bits)] | block.starts[_slot(_pair(hashes[position], following[position]), bits)]
     position = position[may]
     # the suffix array of this shard: suffixes cut after `window` words, at the text's end and at the first unknown word
     offsets = np.arange(window)
@@ -116,13 +189,22 @@ def occurrences(hashes: np.ndarray, text_end: np.ndarray, block: Block, window:
     position, suffix = position[order], suffix[order]
     if not len(position):
         return none
-    keys = block.keys.astype(np.int32)
+    # test suffixes whose first words occur in the shard; short ones end in zeros
+    heads = np.unique(np.concatenate([_head(suffix, n) for n in range(1, HEAD + 1)]))
+    left, right = np.searchsorted(block.heads, heads, "left"), np.searchsorted(block.heads, heads, "right")
+    asked = np.sort(block.head_of[_ranges(left, right)])
+    keys = block.keys[asked]
     top = np.where(keys > 0, keys, np.int32(2**31 - 1))
     low, high = _bisect(suffix, keys, False), _bisect(suffix, top, True)
     found = np.flatnonzero(high > low)
-    n = high[found] - low[found]
-    slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
-    return position[slot], np.repeat(found, n)
+    slot = _ranges(low[found], high[found])
+    return position[slot], np.repeat(asked[found], high[found] - low[found])
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[0] .. high[0]-1, low[1] .. high[1]-1, and so on."""
+    n = high - low
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
 def _extend(at: np.ndarray, which: np.ndarray, doc: np.ndarray, block: Block, longest: np.ndarray, start: np.ndarray, item: np.ndarray) -> None:
@@ -165,8 +247,7 @@ def _search(batch: pa.RecordBatch, blocks: list, window: int) -> pa.RecordBatch:
     edge = np.zeros(len(words.hash) + 1, np.int64)
     owners, items = [], []
     longest, start, item = (np.zeros(docs, np.int64) for _ in range(3))
-    for broadcast in blocks:
-        block = broadcast.value
+    for block in map(load_block, blocks):
         at, which = occurrences(words.hash, text_end, block, window)
         if not len(at):
             continue
@@ -191,28 +272,40 @@ def _search(batch: pa.RecordBatch, blocks: list, window: int) -> pa.RecordBatch:
     )
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20) -> list:
-    """The benchmark as broadcast blocks of at most ``block_bytes`` of text (or one longer item)."""
-    context = benchmark.sparkSession.sparkContext
-    blocks, ids, texts, size = [], [], [], 0
+def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """The benchmark as blocks of at most ``block_bytes`` of text (or one longer item), built by tasks: their URIs, one for each block."""
+    spark = benchmark.sparkSession
+    rows = plain(benchmark, "item_id", "text").where("item_id is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // block_bytes)
+    rows = rows.repartition(n) if n > 1 else rows.coalesce(1)
+    folder = scratch(spark, "benchmark")
 
-    def close() -> None:
-        nonlocal ids, texts, size
-        if ids:
-            blocks.append(context.broadcast(build_block(ids, texts, window)))
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
 
-    for row in plain(benchmark, "item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        if size + len(row[1]) > block_bytes:
-            close()
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1])
-    close()
-    return blocks
+        def close() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([save_block(build_block(ids, texts, window), folder)] if ids else [], pa.string())], ["uri"])
+
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids and size + len(text.encode()) > block_bytes:
+                    yield close()
+                    ids, texts, size = [], [], 0
+                ids.append(item)
+                texts.append(text)
+                size += len(text.encode())
+        yield close()
+
+    return [r[0] for r in arrow(rows, build, "uri string").collect()] if size else []
+
+
+def _chunk_bytes(blocks: list) -> int:
+    """Chunks of several blocks are larger, as blocks may have to be loaded for each."""
+    return CHUNK_BYTES if len(blocks) < 2 else 8 * CHUNK_BYTES
 
 
-def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
+def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: words, hit words, items with occurring windows, and the longest verbatim match: its words, item and first word (from 0).
 
     Item and first word are null where nothing matches.
@@ -221,7 +314,7 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, most=CHUNK_BYTES):
+            for part in chunks(batch, most=_chunk_bytes(blocks)):
                 yield _search(part, blocks, window)
 
     return arrow(plain(documents, "doc_id", "text"), run, SCHEMA)
@@ -240,7 +333,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, min_items: int = 2
         for batch in batches:
             pair = pa.record_batch([batch.column(ids), batch.column(text)], ["doc_id", "text"])
             at = 0
-            for part in chunks(pair):
+            for part in chunks(pair, most=_chunk_bytes(blocks)):
                 clean = np.asarray(_search(part, blocks, window).column("n_items")) < min_items
                 yield batch.slice(at, part.num_rows).filter(pa.array(clean))
                 at += part.num_rows

@@ -211,12 +211,27 @@ def test_decontamination_places_the_longest_match_in_its_item(spark, docs, table
         assert {x.doc_id: (x.longest_match, x.match_item, x.match_start) for x in decontaminate.find_matches(df, bench, block_bytes=block).collect()} == want
     block = decontaminate.build_block(*map(list, zip(*items, strict=True)))
     monkeypatch.setattr(decontaminate, "_PLACES", 50)
-    class Held:
-        value = block
-    few = decontaminate._search(pa.record_batch([pa.array([d for d, _ in some]), pa.array([t for _, t in some])], ["doc_id", "text"]), [Held], 8)
+    few = decontaminate._search(pa.record_batch([pa.array([d for d, _ in some]), pa.array([t for _, t in some])], ["doc_id", "text"]), [block], 8)
     assert {x["doc_id"]: (x["longest_match"], x["match_item"], x["match_start"]) for x in few.to_pylist()} == want
 
 
+def test_work_of_a_chunk_does_not_grow_with_the_benchmark():
+    r = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(30_000)]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+    text = " ".join(r.choices(vocabulary, weights, k=100_000))
+    words = split_words(pa.array([text]))
+    end = np.full(len(words.hash), len(words.hash))
+    took = {}
+    for items in (150, 15_000):
+        block = decontaminate.build_block(list(range(items)), [" ".join(r.choices(vocabulary, weights, k=100)) for _ in range(items)])
+        decontaminate.occurrences(words.hash, end, block)
+        start = time.process_time()
+        decontaminate.occurrences(words.hash, end, block)
+        took[items] = time.process_time() - start
+    assert took[15_000] < 6 * took[150] + 0.3, took
+
+
 # ---------------------------------------------------------------- 5 language
 
 
