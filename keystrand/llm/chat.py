@@ -1,8 +1,10 @@
 """Chat formatting with schema fingerprints; DataFrame functions only.
 
-A layout is recognised by the hash of its sorted nested field paths and mapped by a declarative rule to canonical turns
-(role, text).  Tables are recognised by their schema on the driver; JSON rows by ``schema_of_variant`` of each row, so one
-column may mix layouts.  Field types don't count, only paths.
+A layout is a declarative rule to canonical turns (role, text), registered under the fingerprint of its sorted nested field
+paths.  Of a table's or a JSON text's paths, those of each layout are hashed, and the layout whose registered fingerprint that
+is gives the rule; of several the one with the most paths.  So other fields (an id, a source, a name) don't hide a layout, and
+field types don't count.  An empty list is a layout with paths of its own and no turns.  Tables are recognised by their schema
+on the driver; JSON rows by their own keys, so one column may mix layouts.
 
 Template.  A turn is ``<turn>role\\n text</turn>\\n`` (without the blank).  Inside roles and texts a backslash becomes
 ``\\b``, the first character of ``<turn>`` and ``</turn>`` becomes ``\\l``, that of ``### `` becomes ``\\h``, and in roles a
@@ -10,7 +12,8 @@ newline becomes ``\\n``; every backslash in the output starts such a code, so th
 
 Edge cases: null roles and texts are empty; turns are ordered by (turn, role, text), null turns first; repeated rows are
 repeated turns; a null conversation id is a conversation; unknown layouts give a null layout and no turns; an empty table
-gives no rows.  A long conversation is joined from blocks of ``BLOCK`` turn numbers.
+gives no rows; other columns are not read, and those named ``layout`` or ``turns`` are replaced; a very long text is one
+value.  A long conversation is joined from blocks of ``BLOCK`` turn numbers.
 """
 
 from __future__ import annotations
@@ -65,6 +68,9 @@ def _list(column: str, role: str, text: str, names: dict[str, str] | None = None
 #: layout -> (paths, Spark type of the JSON, rule that gives an array of (role, text) from a field getter)
 LAYOUTS: dict[str, tuple[list[str], str, Callable]] = {
     "messages": (["messages[].role", "messages[].content"], "messages array<struct<role string, content string>>", _list("messages", "role", "content")),
+    "no_messages": (["messages[]"], "messages array<string>", lambda get: F.array()),
+    "no_turns": (["turns[]"], "turns array<string>", lambda get: F.array()),
+    "no_conversations": (["conversations[]"], "conversations array<string>", lambda get: F.array()),
     "turns": (["turns[].role", "turns[].text"], "turns array<struct<role string, text string>>", _list("turns", "role", "text")),
     "conversations": (["conversations[].from", "conversations[].value"], "conversations array<struct<`from` string, value string>>", _list("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
     "prompt": (["prompt", "response"], "prompt string, response string", lambda get: F.array(_turn("user", get("prompt")), _turn("assistant", get("response")))),
@@ -84,59 +90,73 @@ ROW_LAYOUTS: dict[str, dict[str, str]] = {
 }
 
 
-def _variant_shape(paths: list[str]) -> str:
-    """How ``schema_of_variant`` writes an object with these paths, without types."""
-    tree: dict = {}
-    for p in paths:
-        at = tree
-        for part in p.replace("[]", ".[]").split("."):
-            at = at.setdefault(part, {})
+def _by_fingerprint(layouts: dict[str, list[str]]) -> list[tuple[str, list[str], str]]:
+    """(fingerprint, paths, name) of layouts by their paths, those with most paths first."""
+    return sorted(((fingerprint(paths), sorted(paths), name) for name, paths in layouts.items()), key=lambda x: (-len(x[1]), x[2]))
 
-    def write(node: dict) -> str:
-        if list(node) == ["[]"]:
-            return f"ARRAY<{write(node['[]'])}>"
-        return "OBJECT<" + ", ".join(f"{k}{': ' + write(v) if v else ''}" for k, v in sorted(node.items())) + ">" if node else ""
 
-    return write(tree)
+def choose(paths: list[str], layouts: dict[str, list[str]]) -> str | None:
+    """The layout whose fingerprint its share of ``paths`` has."""
+    return next((name for mark, known, name in _by_fingerprint(layouts) if fingerprint([p for p in set(paths) if p in known]) == mark), None)
 
 
-def row_fingerprint(json: Column) -> Column:
-    """Fingerprint of a JSON text's field paths; null if it can't be parsed."""
-    shape = F.schema_of_variant(F.try_parse_json(json))
-    return F.sha2(F.regexp_replace(shape, r": (?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|FLOAT|DATE|DECIMAL\(\d+,\s?\d+\))(?=[,>])", ""), 256)
+_LISTS = sorted({p.partition("[")[0] for paths, _, _ in LAYOUTS.values() for p in paths if "[" in p})
+
+
+def json_paths(json: Column) -> Column:
+    """Field paths of a JSON object, elements of the known lists included; null if it is none."""
+    top = F.json_object_keys(json)
+    lists = F.from_json(json, ", ".join(f"{c} array<string>" for c in _LISTS))
+
+    def inside(c: str) -> Column:
+        keys = F.array_distinct(F.flatten(F.transform(F.coalesce(lists[c], F.array().cast("array<string>")), lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")))))
+        return F.when(lists[c].isNull(), F.array(F.lit(c))).when(F.size(keys) == 0, F.array(F.lit(f"{c}[]"))).otherwise(F.transform(keys, lambda k: F.concat(F.lit(f"{c}[]."), k)))
+
+    parts = [F.when(F.array_contains(top, c), inside(c)).otherwise(F.array().cast("array<string>")) for c in _LISTS]
+    return F.concat(F.array_except(top, F.array(*map(F.lit, _LISTS))), *parts)
+
+
+def json_layout(json: Column, layouts: dict[str, list[str]]) -> Column:
+    """:func:`choose` for the paths of each JSON text."""
+    paths = json_paths(json)
+    out = F.lit(None).cast("string")
+    for mark, known, name in reversed(_by_fingerprint(layouts)):
+        mine = F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, known))))
+        out = F.when(F.sha2(F.array_join(mine, "\n"), 256) == mark, name).otherwise(out)
+    return out
 
 
 def canonical_json(df: DataFrame, column: str = "json") -> DataFrame:
     """``df`` with ``layout`` and ``turns`` (array of role and text) for a column of JSON texts in any known layout."""
-    known = F.create_map(*[x for name, (paths, _, _) in LAYOUTS.items() for x in (F.lit(hashlib.sha256(_variant_shape(paths).encode()).hexdigest()), F.lit(name))])
-    layout = F.element_at(known, row_fingerprint(F.col(column)))
-    turns = F.array().cast("array<struct<role:string,text:string>>")
-    for name, (_, kind, rule) in LAYOUTS.items():
-        parsed = F.from_json(F.col(column), kind)
-        turns = F.when(layout == name, rule(lambda f, p=parsed: p[f]).cast("array<struct<role:string,text:string>>")).otherwise(turns)
+    layout = json_layout(F.col(f"`{column}`"), {name: paths for name, (paths, _, _) in LAYOUTS.items()})
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("layout", "turns")]
-    return df.select(*kept, layout.alias("layout"), turns.alias("turns"))
+    rows = df.select(*kept, F.col(f"`{column}`").alias("__json"), layout.alias("layout"))
+    kind = "array<struct<role:string,text:string>>"
+    turns = F.array().cast(kind)
+    for name, (_, fields, rule) in LAYOUTS.items():
+        parsed = F.from_json("__json", fields)
+        turns = F.when(F.col("layout") == name, F.coalesce(rule(lambda f, p=parsed: p[f]).cast(kind), F.array().cast(kind))).otherwise(turns)
+    return rows.select(*kept, "layout", turns.alias("turns"))
 
 
 def canonical_rows(df: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) of a table with one turn a row; extra columns don't matter."""
     names = {c.lower(): c for c in df.columns}
-    for fields in ROW_LAYOUTS.values():
-        if set(fields) <= set(names):
-            chosen = plain(df, *(names[f] for f in fields))
-            if fingerprint(field_paths(chosen.schema)) == fingerprint([names[f] for f in fields]):
-                return chosen.toDF(*fields.values())
-    raise ValueError(f"no row layout fits the paths {field_paths(df.schema)}")
+    layout = choose(list(names), {name: list(fields) for name, fields in ROW_LAYOUTS.items()})
+    if layout is None:
+        raise ValueError(f"no row layout fits the paths {field_paths(df.schema)}")
+    fields = ROW_LAYOUTS[layout]
+    return plain(df, *(names[f] for f in fields)).toDF(*fields.values())
 
 
 def turns_of(df: DataFrame, key: str) -> DataFrame:
-    """(conv_id, turn, role, text) of a table whose rows are whole conversations in a known layout."""
-    rest = [f for f in df.schema.fields if f.name != key]
-    mark = fingerprint(field_paths(StructType(rest)))
-    for paths, _, rule in LAYOUTS.values():
-        if fingerprint(paths) == mark:
-            return df.select(F.col(key).alias("conv_id"), F.posexplode(rule(lambda f: F.col(f))).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
-    raise ValueError(f"no layout fits the paths {field_paths(StructType(rest))}")
+    """(conv_id, turn, role, text) of a table whose rows are whole conversations in a known layout; extra columns don't matter."""
+    paths = field_paths(StructType([f for f in df.schema.fields if f.name != key]))
+    layout = choose(paths, {name: known for name, (known, _, _) in LAYOUTS.items()})
+    if layout is None:
+        raise ValueError(f"no layout fits the paths {paths}")
+    turns = LAYOUTS[layout][2](lambda f: F.col(f"`{f}`")).cast("array<struct<role:string,text:string>>")
+    return df.select(F.col(key).alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
 # ---------------------------------------------------------------- template

@@ -1,17 +1,20 @@
 """Language identification with language-bitmask n-gram filters.
 
-The filter is a bit-sliced Bloom filter: ``SLOTS`` masks of 64 languages; an n-gram belongs to the languages whose bits are
-set at all of its ``PROBES`` slots, so one AND of masks answers for every language.  A text's score for a language is the
-popcount of its n-grams, corrected for that language's false-positive rate (its fill to the power of the probes); the best
-corrected share decides.
+The filter is a bit-sliced Bloom filter: slots of one or more 64-bit masks, a bit a language; an n-gram belongs to the
+languages whose bits are set at all of its ``PROBES`` slots, so one AND of masks answers for 64 languages at a time.  A
+text's score for a language is the popcount of its n-grams, corrected for that language's false-positive rate (its fill to
+the power of the probes); the best corrected share decides.
 
-Learning counts byte 4-grams by language over all training texts (partial counts leave each task), keeps for a language the
-n-grams whose rate there is at least ``SHARE`` of the n-gram's rates summed over languages, and ORs their bits by slot in
-Spark: what reaches the driver is at most ``SLOTS`` masks.
+Learning counts byte 4-grams by language over all training texts (partial counts leave each task) and sets a language's bit
+for the n-grams that make up at least ``RATE`` of that language's n-grams, and whose rate there is at least ``TYPICAL`` times
+the mean of their rates over all languages.  So a language keeps at most 1 / RATE n-grams, however large the input is, and
+related languages may share as many n-grams as they like.  The filter is sized from the most n-grams that a language keeps;
+its masks are ORed by slot in Spark, and what reaches the driver is at most ``MOST_SLOTS`` masks for each 64 languages.
 
 Edge cases: ``und`` with score 0 if the text is null or has no letter, and for every text when nothing could be learned;
 a text of which no n-gram is known gets the most frequent learned language with score 0; ties go to the language that is
-first in order; more than 64 languages raise ValueError.
+first in order; any number of languages is learned; very long texts are read whole; repeated rows count, and are predicted,
+each; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow, crc_bucket, plain
+from ._shared import arrow, crc_bucket, delete, plain, table
 from ._words import U, buffers, chunks, mix
 
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
 PROBES = 3
-SHARE = 0.4
-LEAST = 3
+TYPICAL = 1.6
+RATE = 1e-6
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 25
+ROOM = 8  # slots for each n-gram of the language with most of them
 
 _LETTER = np.full(256, 32, np.uint8)  # what is no letter becomes a blank
 for _c in range(256):
@@ -63,9 +66,12 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return g[whole], doc[:-3][whole]
 
 
-def probes(gram: np.ndarray) -> list[np.ndarray]:
+def probes(gram: np.ndarray, slots: int) -> list[np.ndarray]:
+    """Slots of each n-gram; ``slots`` is a power of two.  The second hash steps from the first, as filters of any size need."""
     h = mix(gram.astype(U) + U(0x9E3779B97F4A7C15))
-    return [((h >> U(20 * i)) & U(SLOTS - 1)).astype(np.int64) for i in range(PROBES)]
+    step = (h >> U(32)) | U(1)
+    with np.errstate(over="ignore"):
+        return [((h + U(i) * step) & U(slots - 1)).astype(np.int64) for i in range(PROBES)]
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -99,40 +105,39 @@ def _counted(rows: DataFrame) -> DataFrame:
     return arrow(rows, run, "lang string, gram long, n long")
 
 
-def learn(rows: DataFrame, share: float = SHARE, least: int = LEAST) -> dict:
+def learn(rows: DataFrame, typical: float = TYPICAL, rate: float = RATE) -> dict:
     """Filter from rows (text, lang)."""
     rows = rows.where("text is not null and lang is not null")
-    counts = _counted(rows).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from ._shared import delete, table
-
-    counts, path = table(counts, "grams")
-    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
+    counts, path = table(_counted(rows).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}  # one row a language
     langs = sorted(totals)
-    if len(langs) > 64:
-        raise ValueError(f"{len(langs)} languages; a mask holds 64")
     if not langs:
-        return {"langs": [], "masks": np.zeros(SLOTS, U), "fill": np.zeros(0), "common": "und"}
-    rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(1.0 / totals[k]))])
-    bit = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(int(np.int64(np.uint64(1) << np.uint64(i)))))])
-    rated = counts.select("lang", "gram", "n", (F.col("n") * rate[F.col("lang")]).alias("r"))
+        return {"langs": [], "masks": np.zeros((1, LEAST_SLOTS), U), "fill": np.zeros(0), "common": "und"}
+    known = rows.sparkSession.createDataFrame([(k, i, float(totals[k])) for i, k in enumerate(langs)], "lang string, number int, total double")
+    rated = counts.join(F.broadcast(known), "lang").select("number", "gram", (F.col("n") / F.col("total")).alias("r"))
     # grams go to languages where they are typical; one row a gram, so a hot language spreads over all tasks
-    grouped = rated.groupBy("gram").agg(F.sum("r").alias("all"), F.collect_list(F.struct("lang", "n", "r")).alias("of"))
-    mask = F.aggregate(
-        F.filter("of", lambda x: (x["r"] >= share * F.col("all")) & (x["n"] >= least)), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit[x["lang"]])
-    )
-    chosen = grouped.select("gram", mask.alias("mask")).where("mask <> 0")
+    grouped = rated.groupBy("gram").agg(F.sum("r").alias("all"), F.collect_list(F.struct("number", "r")).alias("of"))
+    share = min(1.0, typical / len(langs)) * (1 - 1e-9)
+    chosen = grouped.select("gram", F.explode(F.filter("of", lambda x: (x["r"] >= share * F.col("all")) & (x["r"] >= rate))).alias("x")).select("gram", "x.number")
+    chosen, chosen_path = table(chosen, "chosen")
+    most = chosen.groupBy("number").count().agg(F.max("count")).first()[0] or 0
+    slots = min(max(LEAST_SLOTS, 1 << (ROOM * most).bit_length()), MOST_SLOTS)
+    bit = F.expr("shiftleft(1L, number % 64)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.concatenate(probes(np.asarray(batch.column("gram")).astype(np.uint32)))
-            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(np.tile(np.asarray(batch.column("mask")), PROBES))], ["slot", "mask"])
-
-    sliced = arrow(chosen, run, "slot int, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    masks = np.zeros(SLOTS, U)
-    got = sliced.toPandas()  # at most SLOTS rows
-    masks[got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.int64).view(U)
-    delete(rows.sparkSession, path)
-    fill = np.array([float(((masks >> U(i)) & U(1)).sum()) / SLOTS for i in range(len(langs))])
+            at = np.concatenate(probes(np.asarray(batch.column("gram")).astype(np.uint32), slots))
+            word, mask = (np.tile(np.asarray(batch.column(c)), PROBES) for c in ("word", "mask"))
+            yield pa.record_batch([pa.array(word), pa.array(at.astype(np.int32)), pa.array(mask)], ["word", "slot", "mask"])
+
+    gram_masks = chosen.groupBy("gram", F.expr("cast(number div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("mask"))
+    sliced = arrow(gram_masks, run, "word int, slot int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    masks = np.zeros((-(-len(langs) // 64), slots), U)
+    got = sliced.toPandas()  # at most MOST_SLOTS rows for each 64 languages
+    masks[got["word"].to_numpy(), got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.int64).view(U)
+    for p in (path, chosen_path):
+        delete(rows.sparkSession, p)
+    fill = np.array([float(((masks[i // 64] >> U(i % 64)) & U(1)).sum()) / slots for i in range(len(langs))])
     return {"langs": langs, "masks": masks, "fill": fill, "common": max(langs, key=lambda k: (totals[k], k))}
 
 
@@ -142,15 +147,17 @@ def predict(texts: pa.Array, model: dict) -> tuple[list[str], np.ndarray]:
     if not langs:
         return ["und"] * docs, np.zeros(docs)
     g, doc = grams(texts)
-    mask = np.full(len(g), ~U(0))
-    for at in probes(g):
-        mask &= model["masks"][at]
+    at = probes(g, model["masks"].shape[1])
     n = np.bincount(doc, minlength=docs)
     share = np.zeros((docs, len(langs)))
-    for i in range(len(langs)):
-        false = model["fill"][i] ** PROBES
-        hits = np.bincount(doc, ((mask >> U(i)) & U(1)).astype(np.float64), docs)
-        share[:, i] = np.maximum(hits - n * false, 0) / (np.maximum(n, 1) * max(1 - false, 1e-9))
+    for word, slots in enumerate(model["masks"]):
+        mask = np.full(len(g), ~U(0))
+        for a in at:
+            mask &= slots[a]
+        for i in range(64 * word, min(64 * word + 64, len(langs))):
+            false = model["fill"][i] ** PROBES
+            hits = np.bincount(doc, ((mask >> U(i % 64)) & U(1)).astype(np.float64), docs)
+            share[:, i] = np.maximum(hits - n * false, 0) / (np.maximum(n, 1) * max(1 - false, 1e-9))
     best, total = share.argmax(1), share.sum(1)
     score = np.where(total > 0, share[np.arange(docs), best] / np.maximum(total, 1e-12), 0)
     names = [("und" if not ok else langs[b] if t > 0 else model["common"]) for ok, b, t in zip(letters, best, total, strict=True)]

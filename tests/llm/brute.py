@@ -90,3 +90,12 @@ def personal(text):
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
     }
     return {k: [m.span() for m in re.finditer(p, text) if ok(m[0])] for k, (p, ok) in rules.items()}
+
+
+def grams(texts):
+    """Counts of byte 4-grams of lower-case ASCII texts."""
+    out = Counter()
+    for t in texts:
+        b = t.encode()
+        out.update(b[i : i + 4] for i in range(len(b) - 3))
+    return out

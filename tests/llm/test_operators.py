@@ -86,6 +86,44 @@ def test_quality_edges(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_ridge_and_calibration_against_plain_algebra(spark):
+    r = np.random.default_rng(5)
+    n, width = 1500, 20
+    x = r.normal(size=(n, quality.N_STATS)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * r.normal(size=n) > 0.3).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in row], float(t)) for i, (row, t) in enumerate(zip(x, y, strict=True))], "key long, stats array<float>, y double").repartition(5)
+    model = quality.fit(df, features=width, seed=3)
+    fold = {q.key for q in df.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(5)) == 0).collect()}
+    learn = np.array([i not in fold for i in range(n)])
+    wide = x.astype(np.float64)
+    mean, scale = wide.mean(0), wide.std(0) + 1e-3
+    assert np.allclose(model["mean"], mean) and np.allclose(model["scale"], scale)
+    z = np.sqrt(2 / width) * np.cos(((wide - mean) / scale) @ model["direction"] + model["shift"])
+    z = np.concatenate([z, np.ones((n, 1))], 1)
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum())) * n
+    # the same minimum by least squares: rows times the root of their weight, and a row for each penalised coefficient
+    rows = np.concatenate([z[learn] * np.sqrt(weight[learn])[:, None], np.sqrt(quality.RIDGE) * np.eye(width + 1)[:-1]])
+    target = np.concatenate([(2 * y[learn] - 1) * np.sqrt(weight[learn]), np.zeros(width)])
+    assert np.allclose(model["weights"], np.linalg.lstsq(rows, target, rcond=None)[0], atol=1e-6)
+    # random features stand for the kernel exp(-|a - b|^2 / (2 w^2)) of the scaled statistics
+    many = {**model, "direction": r.normal(size=(quality.N_STATS, 20_000)) / (quality.WIDTH * np.sqrt(quality.N_STATS)), "shift": r.uniform(0, 2 * np.pi, 20_000)}
+    f = quality._features(wide[:40], many)[:, :-1]
+    a = (wide[:40] - mean) / scale
+    kernel = np.exp(-((a[:, None] - a[None]) ** 2).sum(2) / (2 * (quality.WIDTH**2 * quality.N_STATS)))
+    assert np.abs(f @ f.T - kernel).max() < 0.05
+    # calibration: the best non-decreasing step function over the bins, by dynamic programming on maxima of minima
+    raw = z @ model["weights"]
+    bins = np.clip(((raw[~learn] + 2) / 4 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    total, good = np.bincount(bins, minlength=quality.BINS), np.bincount(bins, y[~learn], quality.BINS)
+    used = np.flatnonzero(total)
+    t, g = np.cumsum(np.append(0, total[used])), np.cumsum(np.append(0, good[used]))
+    step = [max(min((g[b + 1] - g[a]) / (t[b + 1] - t[a]) for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
+    blocks = sorted({round(v, 12) for v in step})
+    assert len(blocks) == len(model["values"]) and (np.diff(model["values"]) > 0).all()
+    sizes = [sum(total[used[i]] for i in range(len(used)) if round(step[i], 12) == v) for v in blocks]
+    assert np.allclose(model["values"], [(v * s + 0.5) / (s + 1) for v, s in zip(blocks, sizes, strict=True)])
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(4.0), np.array([0, 3, 1, 4]), np.array([4, 4, 4, 4]))
     assert (np.diff(y) > 0).all() and len(x) == 3
@@ -121,19 +159,35 @@ def test_chat_layouts(spark):
         ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', "messages"),
         ('{"conversations":[{"value":"q","from":"human"},{"from":"gpt","value":"a"}]}', "conversations"),
         ('{"prompt":"q","response":"a"}', "prompt"), ('{"instruction":"q","output":"a"}', "instruction"), ('{"output":"a","input":"","instruction":"q"}', "instruction_input"),
-        ('{"prompt":"q","completion":"a"}', "completion"), ('{"other":1}', None), ("not json", None), (None, None),
+        ('{"prompt":"q","completion":"a"}', "completion"), ('{"id":7,"source":{"x":[1]},"prompt":"q","response":"a"}', "prompt"),
+        ('{"name":"n","messages":[{"role":"user","content":"q","name":"x"},{"content":"a","role":"assistant","weight":1}]}', "messages"), ('{"messages":[]}', "no_messages"), ('{"turns":[],"id":1}', "no_turns"),
+        ('{"messages":"text"}', None), ('[1]', None), ('{"messages":null}', None), ('{"other":1}', None), ("not json", None), (None, None),
     ]
     df = spark.createDataFrame([(j, "z") for j, _ in rows], "json string, layout string")
     got = chat.canonical_json(df).collect()
     assert [r.layout for r in got] == [x for _, x in rows]
     for r in got:
-        assert [(t.role, t.text) for t in r.turns] == ([("user", "q"), ("assistant", "a")] if r.layout else [])
+        assert [(t.role, t.text) for t in r.turns] == ([("user", "q"), ("assistant", "a")] if r.layout and not r.layout.startswith("no_") else [])
     whole = spark.createDataFrame([(1, "q", "a")], "id long, prompt string, response string")
     assert [tuple(r) for r in chat.turns_of(whole, "id").collect()] == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    more = spark.createDataFrame([(1, "q", "a", "web", [("z",)])], "id long, prompt string, response string, source string, tags array<struct<t string>>")
+    assert [tuple(r) for r in chat.turns_of(more, "id").collect()] == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
     with pytest.raises(ValueError):
         chat.turns_of(df, "json")
 
 
+def test_the_fingerprint_selects_the_mapping(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, "user", "q", 5, "c")], "CONV_ID long, turn long, role string, text string, extra long, content string")
+    assert [tuple(r) for r in chat.canonical_rows(rows).collect()] == [(1, 0, "user", "q")]
+    json = spark.createDataFrame([('{"prompt":"q","response":"a"}',)], "json string")
+    swapped = {**chat.LAYOUTS, "prompt": (chat.LAYOUTS["completion"][0], *chat.LAYOUTS["prompt"][1:]), "completion": (chat.LAYOUTS["prompt"][0], "response string", lambda get: chat.F.array(chat._turn("only", get("response"))))}
+    monkeypatch.setattr(chat, "LAYOUTS", swapped)
+    got = chat.canonical_json(json).first()
+    assert got.layout == "completion" and [tuple(t) for t in got.turns] == [("only", "a")]
+    monkeypatch.setattr(chat, "ROW_LAYOUTS", {"other": {"conv_id": "conv_id", "turn": "turn", "role": "role", "content": "text"}})
+    assert [tuple(r) for r in chat.canonical_rows(rows).collect()] == [(1, 0, "user", "c")]
+
+
 # ---------------------------------------------------------------- 3 WARC
 
 
@@ -249,6 +303,44 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_filter_against_plain_sets(spark):
+    """What the filter returns for each n-gram and text, against counts and sets in plain Python."""
+    r = random.Random(12)
+    stems = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    names = [f"l{i:03d}" for i in range(70)]  # more than a mask holds
+    # languages 0 to 2 are related: they share most of their words
+    words_of = {k: (stems[:12] if i < 3 else []) + r.sample(stems, 6) for i, k in enumerate(names)}
+    rows = [(" ".join(r.choices(words_of[k], k=40)), k) for k in names for _ in range(6)]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model["langs"] == names and model["masks"].shape[0] == 2
+    counts = {k: brute.grams(t for t, x in rows if x == k) for k in names}
+    rates = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    every = {g: sum(x.get(g, 0) for x in rates.values()) for c in counts.values() for g in c}
+    kept = {k: {g for g, x in rates[k].items() if x >= min(1, langid.TYPICAL / len(names)) * every[g] * (1 - 1e-9) and x >= langid.RATE} for k in names}
+    assert len(kept["l000"] & kept["l001"] & kept["l002"]) > 20
+    everything = sorted(every)
+    coded = np.array([int.from_bytes(g, "big") for g in everything], np.uint32)
+    at = langid.probes(coded, model["masks"].shape[1])
+    wrong = 0
+    for i, k in enumerate(names):
+        hit = np.ones(len(coded), bool)
+        for a in at:
+            hit &= ((model["masks"][i // 64][a] >> np.uint64(i % 64)) & np.uint64(1)) == 1
+        found = {g for g, h in zip(everything, hit, strict=True) if h}
+        assert kept[k] <= found
+        wrong += len(found - kept[k])
+    assert wrong < 0.01 * len(names) * len(everything)
+    tests = [(" ".join(r.choices(words_of[k], k=30)), k) for k in names for _ in range(3)]
+    got, score = langid.predict(pa.array([t for t, _ in tests]), model)
+    for (t, k), g, s in zip(tests, got, score, strict=True):
+        seen = brute.grams([t])
+        total = sum(seen.values())
+        share = {x: sum(n for q, n in seen.items() if q in kept[x]) / total for x in names}
+        best = max(share.values())
+        assert share[g] >= best - 0.02 and abs(s - share[g] / sum(share.values())) < 0.03, (k, g)
+    assert sum(g == k for (_, k), g in zip(tests, got, strict=True)) / len(tests) > 0.9
+
+
 # ---------------------------------------------------------------- 6 PII
 
 PII_TEXTS = [
