@@ -32,9 +32,9 @@ from ._words import U, buffers, chunks, mix
 
 PROBES = 3
 TYPICAL = 1.6
-RATE = 1e-6
-LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 25
-ROOM = 8  # slots for each n-gram of the language with most of them
+RATE = 3e-6
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 22
+ROOM = 4  # slots for each n-gram of the language with most of them
 
 _LETTER = np.full(256, 32, np.uint8)  # what is no letter becomes a blank
 for _c in range(256):

@@ -1,11 +1,13 @@
 """Media columns: payloads as images in tar archives, read through a data source of byte ranges.
 
 Payloads are stored as 8-bit greyscale PNG images, ``WIDTH`` samples a row, one tar member each.  Beside every archive lies
-an index of member offsets.  The data source plans byte ranges over the archives of a folder from file sizes alone; a
-reader loads the index of its archive, serves the members that start in its range, and retries each of them by offset.
+an index of member offsets.  The data source plans byte ranges over the archives of a folder from file sizes alone, at most
+``MOST_RANGES`` partitions of them; a reader loads the indexes of its archives, serves the members that start in its ranges,
+and retries each of them by offset.
 
-Edge cases: null and empty texts are one row of padding; repeated rows are repeated members; a member that still fails
-after ``TRIES`` reads comes back with null media and the error's text, and the others of its range are unharmed.
+Edge cases: null and empty texts are one row of padding; repeated rows are repeated members; equal texts have equal values; a
+very long text is one member; a null doc_id stays null; a member that still fails after ``TRIES`` reads comes back with null
+media and the error's text, and the others of its range are unharmed; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .archives import Rolling, filesystem
 WIDTH = 576
 PAD = b"\xff"
 ARCHIVE_BYTES = 64 << 20
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 8 << 20  # least bytes of a partition
+MOST_RANGES = 50_000
 BATCH_BYTES = 4 << 20
 TRIES = 3
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -128,10 +131,8 @@ def write_media(documents: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
 
 
 @dataclass
-class ByteRange(InputPartition):
-    uri: str
-    start: int
-    end: int
+class ByteRanges(InputPartition):
+    parts: list[tuple[str, int, int]]  # (uri, start, end)
 
 
 class TarRanges(DataSource):
@@ -153,33 +154,49 @@ class TarRangesReader(DataSourceReader):
         self.folder = options["path"].rstrip("/")
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         import pyarrow.parquet as pq
 
         fs, path = filesystem(f"{self.folder}/_manifest")
         files = pq.read_table(path, filesystem=fs, columns=["uri", "bytes"])
-        return [ByteRange(u, a, min(a + self.range_bytes, n)) for u, n in zip(files["uri"].to_pylist(), files["bytes"].to_pylist(), strict=True) for a in range(0, n, self.range_bytes)] or [ByteRange("", 0, 0)]
+        return [ByteRanges(r) for r in plan_ranges(list(zip(files["uri"].to_pylist(), files["bytes"].to_pylist(), strict=True)), self.range_bytes)] or [ByteRanges([])]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for offset in member_offsets(partition.uri, partition.start, partition.end):
-            rows.append((partition.uri, offset, *read_member(partition.uri, offset)))
-            size += len(rows[-1][3] or b"")
-            if size >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
+        for uri, start, end in partition.parts:
+            for offset in member_offsets(uri, start, end):
+                rows.append((uri, offset, *read_member(uri, offset)))
+                size += len(rows[-1][3] or b"")
+                if size >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
         yield _batch(rows)
 
 
+def plan_ranges(files: list[tuple[str, int]], least: int, most: int = MOST_RANGES) -> list[list[tuple[str, int, int]]]:
+    """Partitions of byte ranges that cover all files: of ``least`` bytes, or of as many as leave about ``most`` partitions."""
+    size = max(least, -(-sum(n for _, n in files) // most))
+    out, held = [], 0
+    for uri, n in files:
+        at = 0
+        while at < n:
+            if not out or held >= size:
+                out.append([])
+                held = 0
+            to = min(n, at + size - held)
+            out[-1].append((uri, at, to))
+            held += to - at
+            at = to
+    return out
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
     return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["uri", "offset", "name", "media", "error"])
 
 
 def member_offsets(uri: str, start: int, end: int) -> list[int]:
-    if not uri:
-        return []
     fs, path = filesystem(f"{uri}.idx")
     with fs.open_input_stream(path) as f:
         at = np.frombuffer(f.read(), np.int64)

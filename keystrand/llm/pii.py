@@ -8,7 +8,9 @@ The base kinds ``email, ip, card, phone`` follow fixed patterns: leftmost, non-o
 check are dropped without another try.  Parsers use possessive forms that give the same matches in linear time: a maximal
 run of local-part characters before an at-sign, a digit run taken whole.  The method adds ``account`` (a value behind a cue
 such as ``token =``; at least eight characters, then all that follow, with inner dots and closing equals signs), ``handle`` (an at-sign with a name and no address around it) and ``url`` (scheme to last URL
-character).  Edge cases: null texts count as empty and have no spans; repeated rows give repeated results.
+character).  Edge cases: null texts count as empty and have no spans; very long texts are read whole, in linear time; of
+overlapping spans all are listed, and for masking the first in the text names the joint span, of ties the first kind in
+alphabetical order; repeated rows give repeated results; an empty table gives none; other columns stay as they are.
 """
 
 from __future__ import annotations

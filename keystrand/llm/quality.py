@@ -7,7 +7,9 @@ every task adds up its part of the normal equations (Z'Z, Z'y), parts are added
 
 Edge cases: null and empty texts have zero statistics and get a score like any other; labels that are null, not 0 or 1,
 or without a document are ignored; several labels of one document count as their mean; without usable labels, or with
-labels of one kind, every score is the share of label 1 (0.5 without labels); repeated documents are scored each.
+labels of one kind, every score is the share of label 1 (0.5 without labels); repeated documents are scored each; very long
+texts are read whole; equal texts have equal scores, and ties in the raw score share a block; other columns are not read, or
+stay as they are.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ texts never leave their task.  :func:`lattice_words` is the same lattice as Spar
 higher-order ``aggregate``) over a table of distinct words, for unigram models.
 
 Edge cases: null texts give null ids and null on the way back; empty texts give no ids; characters without a piece become
-byte pieces (or the unknown id if the model has none); U+2581 reads as a blank, as in the model's own library; repeated
-rows are encoded each.
+byte pieces (or the unknown id if the model has none); U+2581 reads as a blank, as in the model's own library; of ties in
+rank the leftmost edge goes first; very long texts and texts without blanks are encoded whole, and words over ``LONG``
+characters are not kept; repeated rows are encoded each; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +36,7 @@ from ._shared import arrow
 from ._words import U, mix
 
 BLANK = "▁"
-CACHE_WORDS = 200_000
+CACHE_BYTES = 40 << 20  # words and their ids that a worker keeps
 LONG = 32
 BLOCK = 16_384
 _NONE = np.int32(2**31 - 1)
@@ -144,6 +146,7 @@ class Encoder:
         self.newline_alone = "\n" not in inner
         self.pairs = {p[i : i + 2] for p in (model.pieces[i] for i in several) for i in range(len(p) - 1)}
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
         self.raw = [bytes([int(p[1:-1], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(BLANK, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
 
     # ---- words
@@ -166,7 +169,7 @@ class Encoder:
         return key[1:] if key[0] == "\0" else key if key[0] == "\n" else BLANK + key
 
     def _missing(self, keys: list[str]) -> None:
-        """Encode words and add them to the cache."""
+        """Encode words and add them to the cache, whose bytes are counted."""
         units: dict[str, int] = {}
         plan: list[list[int]] = []
         for key in keys:
@@ -175,7 +178,8 @@ class Encoder:
             plan.append([units.setdefault(u, len(units)) for p in parts for u in ([p] if len(p) <= LONG else self._split(p))])
         coded = self.encode_units(list(units))
         for key, parts in zip(keys, plan, strict=True):
-            self.cache[key] = b"".join(coded[i] for i in parts)
+            ids = self.cache[key] = b"".join(coded[i] for i in parts)
+            self.cached += sys.getsizeof(key) + sys.getsizeof(ids) + 100
 
     def _split(self, word: str) -> list[str]:
         """A long word, cut between characters that never meet inside a piece."""
@@ -189,14 +193,19 @@ class Encoder:
     def encode_texts(self, texts: list[str | None]) -> list[bytes | None]:
         """Packed int32 ids of each text."""
         cut = [self.words(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        if self.cached > CACHE_BYTES:
             self.cache.clear()
+            self.cached = 0
         cache = self.cache
         missing = {w for ws in cut for w in set(ws)}.difference(cache)
         if missing:
             self._missing(list(missing))
         get = cache.__getitem__
-        return [None if t is None else b"".join(map(get, ws)) for t, ws in zip(texts, cut, strict=True)]
+        out = [None if t is None else b"".join(map(get, ws)) for t, ws in zip(texts, cut, strict=True)]
+        for key in missing:
+            if len(key) > LONG:  # a text without blanks is one word, which hardly comes again
+                self.cached -= sys.getsizeof(key) + sys.getsizeof(cache.pop(key)) + 100
+        return out
 
     # ---- lattice
 
@@ -298,7 +307,7 @@ class Encoder:
         pair[rows, start] = np.where(ok, self.rank[edges[rows, start, np.where(ok, length, 0)]], _NONE)
 
     def _viterbi(self, points: np.ndarray, edges: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Fold by best summed score; the same result as :meth:`_merge`."""
+        """Fold by best summed score; for unigram models, whose segmentation this is."""
         n, width, longest = edges.shape
         best = np.full((n, width + 1), -np.inf)
         best[:, 0] = 0
@@ -402,7 +411,7 @@ def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
     yield texts.slice(at)
 
 
-def encode(documents: DataFrame, model: str | None = None, text: str = "text", verify: bool = False) -> DataFrame:
+def encode(documents: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
     """All columns of ``documents`` but the text, with ``ids`` (array of int), ``n_tokens`` and ``decoded`` (whether the ids read back as the text).
 
     Columns that already have these names are replaced.

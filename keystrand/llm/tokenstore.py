@@ -9,8 +9,10 @@ shuffle of compressed token ids, no sort and no sampling.
 Record: doc_id int64, sequence int32, tokens int32 (little-endian), then ``length`` ids of uint16 (uint32 for vocabularies
 over 65,536), padded with the end id.
 
-Edge cases: white space of any length is cut as the vocabulary's pattern says; each text ends with the end id, so null and empty texts are one sequence of that id; a null doc_id is stored as
--2^63; repeated rows are repeated sequences; an empty table writes a manifest with N = 0 and no shard.
+Edge cases: white space of any length is cut as the vocabulary's pattern says; each text ends with the end id, so null and
+empty texts are one sequence of that id; a null doc_id is stored as -2^63; repeated rows are repeated sequences; very long
+texts are as many sequences as they fill; an empty table writes a manifest with N = 0 and no shard; other columns, whatever
+their names, are not read.  The input must list its rows in the same order in both passes, as files do.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -146,7 +149,10 @@ def record_type(length: int, kind: np.dtype) -> np.dtype:
 
 
 def write_training_order(documents: DataFrame, folder: str, tokenizer=None, key: int = 1, length: int = LENGTH, shard: int = SHARD, wide: bool = False) -> dict:
-    """Write the shards and ``manifest.json`` (returned) for documents (doc_id, text)."""
+    """Write the shards and ``manifest.json`` (returned) for documents (doc_id, text).
+
+    The folder must not hold a finished store (FileExistsError); what a job that died has left there is removed.
+    """
     spark = documents.sparkSession
     tokenizer = tokenizer or default_tokenizer()
     kind = np.dtype(np.uint32 if wide else np.uint16)
@@ -214,11 +220,16 @@ def write_training_order(documents: DataFrame, folder: str, tokenizer=None, key:
             attempt = f"{path}/.{k}-{TaskContext.get().taskAttemptId()}"
             with fs.open_output_stream(attempt) as f:
                 f.write(whole.tobytes())
-            fs.move(attempt, shard_path(path, k))
+            commit(fs, attempt, shard_path(path, k), whole.nbytes)
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([len(whole)], pa.int64())], ["shard", "n"])
 
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
+    left = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.type == pafs.FileType.File]
+    if any(f.endswith("/manifest.json") for f in left):
+        raise FileExistsError(f"{folder} holds a finished store")
+    for f in left:
+        fs.delete_file(f)
     if shards:
         packed = arrow(rows, place, "shard int, n int, packed binary").repartitionById(shards, F.col("shard"))
         done = arrow(packed, write, "shard int, n long").agg(F.sum("n"), F.count("*")).first()
@@ -229,6 +240,22 @@ def write_training_order(documents: DataFrame, folder: str, tokenizer=None, key:
     return manifest
 
 
+def commit(fs: pafs.FileSystem, attempt: str, to: str, size: int) -> None:
+    """Give an attempt's file its name.  Attempts of a shard write the same bytes, so one that finds it written is done."""
+
+    def there() -> bool:
+        return fs.get_file_info(to).size == size
+
+    if not there():
+        try:
+            fs.move(attempt, to)
+        except OSError:  # another attempt was faster
+            if not there():
+                raise
+    if fs.get_file_info(attempt).type == pafs.FileType.File:
+        fs.delete_file(attempt)
+
+
 def shard_path(path: str, k: int) -> str:
     return f"{path}/shard-{k:08d}.bin"
 

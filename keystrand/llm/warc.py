@@ -10,7 +10,9 @@ id, put in order, checked for gaps and against the total length, joined, and the
 
 Edge cases: null html is an empty payload; repeated rows of the response's page are all responses, each with a record id of
 its own (their ids differ in the URN's r-component, which does not count for equality); a null page id is only a response
-if all pages of its payload have null ids, and refers_to is then null; bad lengths, gaps and digests raise ValueError.
+if all pages of its payload have null ids, and refers_to is then null; very long pages are as many segments as they need;
+of ties (the largest page id in several rows) all are responses; an empty table writes no archive; other columns, whatever
+their names, are not read; bad lengths, gaps and digests raise ValueError.
 """
 
 from __future__ import annotations

@@ -410,6 +410,19 @@ def test_training_order(spark, docs, none, tmp_path):
     assert len(back[17]) == 2
     assert tokenstore.read_training_order(spark, folder, m).count() == m["sequences"]
     assert tokenstore.training_order(none).count() == 0
+    with pytest.raises(FileExistsError):
+        tokenstore.write_training_order(docs, folder, length=16, shard=100)
+    # attempts that come late, or after a job that died: the shard is there once and whole
+    fs, path = tokenstore.filesystem(folder)
+    first = tokenstore.shard_path(path, 0)
+    held = open(first, "rb").read()
+    open(f"{path}/.0-late", "wb").write(held)
+    tokenstore.commit(fs, f"{path}/.0-late", first, len(held))
+    assert open(first, "rb").read() == held and not (tmp_path / "t/.0-late").exists()
+    (tmp_path / "t/manifest.json").unlink()
+    open(first, "wb").write(b"x" * len(held))
+    tokenstore.write_training_order(docs, folder, length=16, shard=100)
+    assert open(first, "rb").read() == held
     odd = ["a  b", " a", "a ", "a \n b c", "it's 's", "x  y", "", "日 本"]
     odd += ["x <|never allowed|> y", "ab" + " " * 9000 + "c d", "x" + " \n" * 4000 + "y" + " " * 5000, "\u3000" * 5000 + "z\x1c" + " " * 4999 + "!"]
     plain = [t._tokens().encode_ordinary(x) for x in odd]
@@ -425,13 +438,13 @@ def test_training_order(spark, docs, none, tmp_path):
 def test_media(spark, docs, none, tmp_path):
     got = media.media_features(docs).collect()
     assert len(got) == len(ROWS)
-    for r in got:
-        text = next((t for d, t, _ in ROWS if d == r.doc_id and d is not None), None)
-        if r.doc_id is None:
-            continue
+    nulls = sorted((t or "" for d, t, _ in ROWS if d is None), key=len)
+    for r in sorted(got, key=lambda r: r.n_bytes):
+        text = nulls.pop(0) if r.doc_id is None else next(t for d, t, _ in ROWS if d == r.doc_id)
         raw = (text or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    assert not nulls
     by = {r.doc_id: r for r in got}
     assert by[1].media_sha256 == by[2].media_sha256 and by[1].feature == by[2].feature and by[5].feature == by[6].feature
     assert media.media_features(none).count() == 0
@@ -451,6 +464,18 @@ def test_media(spark, docs, none, tmp_path):
         media.from_png(media.to_png(b"a" * 576)[:-20] + b"x" * 20)
 
 
+def test_ranges_cover_every_byte_once():
+    r = random.Random(1)
+    for least, most in ((100, 50), (1, 7), (10_000, 1), (3, 10**6)):
+        files = [(f"f{i}", r.randrange(0, 900)) for i in range(40)]
+        parts = media.plan_ranges(files, least, most)
+        assert len(parts) <= max(most, sum(n for _, n in files) // least) + 1 and all(parts)
+        for uri, n in files:
+            mine = sorted((a, b) for p in parts for u, a, b in p if u == uri)
+            assert [a for a, _ in mine] == [0, *(b for _, b in mine[:-1])][: len(mine)] and (mine[-1][1] if mine else 0) == n
+    assert media.plan_ranges([], 5) == []
+
+
 # ---------------------------------------------------------------- 9 near duplicates
 
 
@@ -555,6 +580,23 @@ def test_sentencepiece_equals_the_library(spark, docs, none, tables):
     assert sentencepiece.encode(none).columns == ["doc_id", "lang", "source", "n_chars", "score", "rep", "class_id", "ids", "n_tokens", "decoded"]
 
 
+def test_sentencepiece_keeps_a_bounded_number_of_bytes(monkeypatch):
+    import sentencepiece as library
+
+    monkeypatch.setattr(sentencepiece, "CACHE_BYTES", 100_000)
+    sp = library.SentencePieceProcessor(model_file=sentencepiece.default_model())
+    coder = sentencepiece.Encoder(sentencepiece.Model.load(sentencepiece.default_model()))
+    r = random.Random(7)
+    for _ in range(20):
+        texts = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(1000)) for _ in range(4)] + [" ".join(f"w{r.randrange(10**6)}" for _ in range(300))]
+        got = coder.encode_texts(texts)
+        assert [np.frombuffer(x, "<i4").tolist() for x in got] == [sp.encode(t) for t in texts]
+        assert max(map(len, coder.cache)) <= sentencepiece.LONG and coder.cached < 300_000
+        import sys
+
+        assert coder.cached == sum(sys.getsizeof(k) + sys.getsizeof(v) + 100 for k, v in coder.cache.items())
+
+
 def test_viterbi_forms_agree_with_brute_force(spark):
     pieces = {"▁": -5.0, "a": -3.1, "b": -3.2, "c": -3.3, "ab": -4.05, "bc": -4.9, "abc": -8.2, "▁a": -4.4, "▁ab": -7.0, "ca": -5.7}
     model = sentencepiece.Model(["<unk>", *pieces], [0.0, *pieces.values()], [sentencepiece.UNKNOWN, *[sentencepiece.NORMAL] * len(pieces)], sentencepiece.UNIGRAM)
