@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in one pass: at-signs, ``://``, plus signs and identifier cues.  Local parsers
-expand each anchor to the left and right and check the result.  Numeric kinds have no cheap anchor; their parsers start at
-digits.  Offsets are code points, end exclusive.
+An Aho-Corasick automaton finds anchors in one pass: at-signs, ``://``, plus signs, identifier cues, and the digits that
+numeric kinds begin with.  Local parsers expand each anchor to the left and right and check the result.  Offsets are code
+points, end exclusive.
 
 The base kinds ``email, ip, card, phone`` follow fixed patterns: leftmost, non-overlapping per kind, matches that fail a
 check are dropped without another try.  Parsers use possessive forms that give the same matches in linear time: a maximal
@@ -35,7 +35,7 @@ CUES = ("token", "api_key", "api-key", "apikey", "secret", "password", "passwd",
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}+")
+_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _VALUE = re.compile(r"\s{0,3}(?:(?:is|no|number|nr)\b\.?\s{0,3})?[:=#]?\s{0,3}[\"']?([A-Za-z0-9_+/-]{8})")
 _WHOLE = re.compile(r"[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+=*+")
@@ -48,6 +48,8 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for word, what in (("@", "at"), ("://", "scheme"), ("+", "plus")):
         a.add_word(word, (what, len(word)))
+    for digit in "0123456789":
+        a.add_word(digit, ("digit", 1))
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             a.add_word(form, ("cue", len(form)))
@@ -75,11 +77,24 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> dict[str, list[tup
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not text:
         return spans
-    after_email = after_phone = after_url = after_account = barren = 0
+    after_email = after_phone = after_url = after_account = after_ip = after_card = barren = 0
     lone = []
     for last, (what, size) in anchors.iter(text):
         start = last + 1 - size
-        if what == "at":
+        if what == "digit":
+            # a run of digits is taken whole, so only its first digit can begin a match
+            if start >= after_card:
+                m = _DIGITS.match(text, start)
+                after_card = m.end()
+                if after_card - start >= 16:
+                    digits = m[0].replace(" ", "").replace("-", "")
+                    if 16 <= len(digits) <= 19 and luhn(digits):
+                        spans["card"].append(m.span())
+            if start >= after_ip and (m := _IP.match(text, start)):
+                after_ip = m.end()
+                if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
+                    spans["ip"].append(m.span())
+        elif what == "at":
             if start < after_email:
                 continue
             begin = _run_before(text, start, after_email, _LOCAL)
@@ -113,13 +128,6 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> dict[str, list[tup
                 else:
                     barren = m.end()
     spans["handle"] = lone
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
-            spans["ip"].append(m.span())
-    for m in _CARD.finditer(text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if len(digits) <= 19 and luhn(digits):
-            spans["card"].append(m.span())
     return spans
 
 
