@@ -57,6 +57,7 @@ class Block:
     ids: np.ndarray  # item of each text
     heads: np.ndarray  # sorted hashes of the windows' first HEAD words
     head_of: np.ndarray  # the window of each
+    head_words: np.ndarray  # how many words these are, of all windows
     words: np.ndarray  # filter over word hashes
     starts: np.ndarray  # filter over first words and word pairs
 
@@ -119,7 +120,7 @@ def build_block(item_ids: list[int], texts: list[str | None], window: int = WIND
     return Block(
         vocabulary, keys, (keys > 0).sum(1), np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1)), pairs[:, 1],
         np.searchsorted(which[by], np.arange(len(keys) + 1)), owner[by], (at - words.first[owner])[by], np.asarray(item_ids, np.int64),
-        heads[head_of], head_of, _filter(vocabulary), _filter(np.unique(starts)),
+        heads[head_of], head_of, np.unique(np.minimum((keys > 0).sum(1), HEAD)), _filter(vocabulary), _filter(np.unique(starts)),
     )
 
 
@@ -190,7 +191,7 @@ def occurrences(hashes: np.ndarray, text_end: np.ndarray, block: Block, window:
     if not len(position):
         return none
     # test suffixes whose first words occur in the shard; short ones end in zeros
-    heads = np.unique(np.concatenate([_head(suffix, n) for n in range(1, HEAD + 1)]))
+    heads = np.unique(np.concatenate([_head(suffix, int(n)) for n in block.head_words]))
     left, right = np.searchsorted(block.heads, heads, "left"), np.searchsorted(block.heads, heads, "right")
     asked = np.sort(block.head_of[_ranges(left, right)])
     keys = block.keys[asked]
