@@ -169,11 +169,6 @@ def stripe(c: Column) -> Column:
     return F.pmod(c, F.lit(256)).cast("int")
 
 
-def bloom_mix(c: Column) -> Column:
-    """A second probe from a hash, for key filters."""
-    return F.xxhash64(c)
-
-
 # ---------------------------------------------------------------- names and labels
 
 

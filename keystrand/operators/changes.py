@@ -5,6 +5,8 @@ A log is (lsn, op, key, value) with unique lsn and op in insert, update, delete.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,16 @@ def replay(log: DataFrame, *values: str, column: str = "key") -> DataFrame:
     return newest.where(~F.col("_gone")).select(column, *fields, "lsn")
 
 
+def replay_to(log: DataFrame, callback: Callable[[str, bytes, bytes | None, int], None]) -> None:
+    """Call ``callback(op, key, value, lsn)`` in the executors for each record, in lsn order within ranges of the log."""
+
+    def run(rows: Iterator) -> None:
+        for r in rows:
+            callback(r.op, r.key, r.value, r.lsn)
+
+    log.select("lsn", "op", "key", "value").repartitionByRange("lsn").sortWithinPartitions("lsn").foreachPartition(run)
+
+
 def upsert(log: DataFrame, *values: str, column: str = "key") -> DataFrame:
     """Bulk-load semantics: the newest record wins without any gating."""
     return replay(log, *values, column=column)

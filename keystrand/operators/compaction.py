@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -28,6 +29,28 @@ def without_deleted(base: DataFrame, tombstones: DataFrame, column: str = "key")
     return base.join(tombstones.select(column), column, "left_anti")
 
 
+def candidates(index: DataFrame, durable: DataFrame, boundary) -> DataFrame:
+    """Index entries (hash, offset, is_delete) whose values still have to be copied.
+
+    Live, not inline, at or above the boundary up to which values are durable, and not among the offsets made durable since.
+    """
+    open_ = index.where(~F.col("is_delete") & ~codec.is_inline(F.col("hash")) & (F.col("offset") >= boundary))
+    return open_.join(durable.select("offset"), "offset", "left_anti")
+
+
+def rewritten(merged: DataFrame, mapper: Callable[[DataFrame], DataFrame], column: str = "key") -> DataFrame:
+    """Merged rows through a caller's mapper, which may change values but neither keys nor columns (ValueError)."""
+    out = mapper(merged)
+    if out.columns != merged.columns or dict(out.dtypes)[column] != dict(merged.dtypes)[column]:
+        raise ValueError("a mapper must leave keys and columns as they are")
+    return out
+
+
+def write_final(merged: DataFrame, writer: Callable[[DataFrame], None], column: str = "key") -> None:
+    """Hand the final rows, range-partitioned and sorted by key, to a caller's writer."""
+    writer(merged.repartitionByRange(column).sortWithinPartitions(column))
+
+
 def restamp(entries: DataFrame, generation) -> DataFrame:
     """New generation on every entry that points into the value file."""
     return entries.withColumn("generation", F.when(codec.is_inline(F.col("hash")), F.col("generation")).otherwise(F.lit(generation)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -14,8 +15,7 @@ from ..functions import codec
 from ..sources.files import written
 from . import reads
 
-# Labels of stores and variants in benchmark names, in report order.
-RIVALS = ("RocksDB", "LMDB", "RocksDB-BlobDB")
+# Thread counts of a report's columns.
 THREADS = (1, 4, 16, 32)
 
 
@@ -71,6 +71,34 @@ def compose_name(store: Column, variant: Column, op: Column, mode: Column, dist:
     return F.concat_ws("/", *parts, F.lit("real_time"), F.concat(F.lit("threads:"), threads.cast("string")))
 
 
+def labelled(rows: DataFrame, labels: dict[tuple[str, str], str], store: str = "store", variant: str = "variant") -> DataFrame:
+    """Rows whose (store, variant) has a label, with ``label``."""
+    pair = F.concat(F.col(store), F.lit("\0"), F.col(variant))
+    known = F.create_map(*[F.lit(x) for (s, v), label in labels.items() for x in (f"{s}\0{v}", label)])
+    return rows.withColumn("label", F.try_element_at(known, pair)).where("label is not null")
+
+
+def matrix_filter(name: Column, stores: list[str], value: str | None = None) -> Column:
+    """Benchmarks of some stores, and of one value size (as in ``value_label``)."""
+    some = "|".join(re.escape(s) for s in stores)
+    return name.rlike(f"^Store=({some})/.*{f'Value={re.escape(value)}' if value else ''}")
+
+
+def priming_filter(name: Column, stores: list[str]) -> Column:
+    """The one cell of each (store, variant, value) that builds the corpus all others share."""
+    return matrix_filter(name, stores) & name.rlike("/Op=Get/Mode=Hit/Dist=Zipf/.*threads:1$")
+
+
+def quick_filter(name: Column, store: str, variant: str, op: str = "Get", value: str = "8B") -> Column:
+    """One representative cell, on one thread."""
+    return name.rlike(f"^Store={re.escape(store)}/Variant={re.escape(variant)}/Op={op}/.*Value={re.escape(value)}.*threads:1$")
+
+
+def thread_counts(rows: DataFrame) -> DataFrame:
+    """Distinct thread counts, ascending."""
+    return rows.select("threads").where("threads is not null").distinct().orderBy("threads")
+
+
 def winners(rows: DataFrame, native: Column, *by: str) -> DataFrame:
     """Best native and best rival label and value for each group, their ratio and badge; ties go to the first label."""
 
@@ -94,6 +122,29 @@ def merge_results(new: DataFrame, old: DataFrame, native: Column) -> DataFrame:
     return new.where(native).withColumn("src", F.lit("new")).unionByName(old.where(~native).withColumn("src", F.lit("old")))
 
 
+def merge_files(new: DataFrame, old: DataFrame, native: Column, suffix: str = "") -> DataFrame:
+    """:func:`merge_results` file by file: of the files in both runs, by base name, native rows of the new and others of the old one.
+
+    ``suffix`` ends the new files' base names and is left out of them; a side's file names are few, so they are collected by no one.
+    """
+    mine, theirs = ((_based(df, s)) for df, s in ((new, suffix), (old, "")))
+    names = mine.select("file").distinct().join(theirs.select("file").distinct(), "file")
+    return merge_results(mine.join(names, "file", "left_semi"), theirs.join(names, "file", "left_semi"), native)
+
+
+def merge_warnings(new: DataFrame, old: DataFrame, native: Column, suffix: str = "") -> DataFrame:
+    """(file, stray, rivals, in_both): foreign rows of a new file, rows an old file gives, and whether both runs have it."""
+    stray = _based(new, suffix).groupBy("file").agg(F.sum((~native).cast("long")).alias("stray"), F.lit(True).alias("_new"))
+    rivals = _based(old, "").groupBy("file").agg(F.sum((~native).cast("long")).alias("rivals"), F.lit(True).alias("_old"))
+    both = stray.join(rivals, "file", "full_outer")
+    return both.select("file", F.coalesce("stray", F.lit(0)).alias("stray"), F.coalesce("rivals", F.lit(0)).alias("rivals"), (F.col("_new").isNotNull() & F.col("_old").isNotNull()).alias("in_both"))
+
+
+def _based(rows: DataFrame, suffix: str) -> DataFrame:
+    """``file`` without folder, ending and suffix."""
+    return rows.withColumn("file", F.regexp_replace(F.regexp_extract("file", r"([^/]*?)(?:\.json)?$", 1), f"{re.escape(suffix)}$", ""))
+
+
 def nested(rows: DataFrame, outer: str, key: str, value: str) -> DataFrame:
     """A map of key to value for each outer group."""
     return rows.groupBy(outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias("entries"))

@@ -19,6 +19,11 @@ def get(state: DataFrame, key, column: str = "key") -> DataFrame:
     return state.where(F.col(column) == F.lit(key))
 
 
+def get_by_prefix_hash(requests: DataFrame, index: DataFrame) -> DataFrame:
+    """Index entries of requested (prefix, hash) pairs: the index holds no whole keys, and both columns decide."""
+    return requests.join(index, ["prefix", "hash"], "inner")
+
+
 def multi_get(requests: DataFrame, state: DataFrame, on: str) -> DataFrame:
     """State of every requested key that exists; Catalyst broadcasts whichever side is small enough."""
     return requests.join(state, on, "inner")

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import changes, compaction, measure, reads
+from ..operators import changes, compaction, measure, reads, workload
+from ..sources import results
 from ..sources.files import scratch_dir
 from ..sources.store import KeyedStore
 from ..streaming import replay
@@ -70,6 +71,13 @@ def kv_multi_get(spark, d):
     return reads.multi_get(wanted, table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
 
 
+@query("SELECT a.page_id, b.page_id AS found FROM pages a JOIN pages b ON a.url = b.url")
+def kv_get_prefix_hash(spark, d):
+    url = codec.text(F.col("url"))
+    index = table(spark, d, "pages").select(codec.prefix16(url).alias("prefix"), codec.clean_hash(url).alias("hash"), "page_id")
+    return reads.get_by_prefix_hash(index, index.withColumnRenamed("page_id", "found")).select("page_id", "found")
+
+
 @query("SELECT c_custkey * 20 AS o_orderkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = c_custkey * 20)")
 def kv_get_miss(spark, d):
     return reads.get_miss(table(spark, d, "customer").select((F.col("c_custkey") * 20).alias("o_orderkey")), table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
@@ -227,6 +235,20 @@ def compact_merge(spark, d):
     return compaction.merge(*_parts(spark, d))
 
 
+@query("SELECT o_orderkey * 16 AS offset, CASE WHEN o_custkey % 5 = 0 THEN o_orderkey - 9223372036854775807 - 1 ELSE o_orderkey END AS hash FROM orders WHERE o_custkey % 5 <> 0 AND o_custkey % 7 <> 0 AND o_orderkey >= 100 AND o_orderkey NOT IN (SELECT user_id FROM events)")
+def compact_candidates(spark, d):
+    hash_ = F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderkey").bitwiseOR(F.lit(codec.SIGN))).otherwise(F.col("o_orderkey"))
+    index = table(spark, d, "orders").select((F.col("o_orderkey") * 16).alias("offset"), hash_.alias("hash"), (F.col("o_custkey") % 7 == 0).alias("is_delete"))
+    durable = table(spark, d, "events").select((F.col("user_id") * 16).alias("offset"))
+    return compaction.candidates(index, durable, 1600).select("offset", "hash")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 3 ELSE 9 END AS generation FROM orders")
+def compact_restamp(spark, d):
+    hash_ = F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderkey").bitwiseOR(F.lit(codec.SIGN))).otherwise(F.col("o_orderkey"))
+    return compaction.restamp(table(spark, d, "orders").select("o_orderkey", hash_.alias("hash"), F.lit(3).alias("generation")), 9).select("o_orderkey", "generation")
+
+
 @query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events WHERE event_type = 'error')")
 def compact_without_deleted(spark, d):
     base, delta = _parts(spark, d)
@@ -284,6 +306,12 @@ def codec_composite_key(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.hex(key).alias("k"))
 
 
+@query("SELECT o_orderkey, lpad(upper(to_hex((o_orderkey - 700 + 2147483648)::BIGINT)), 8, '0') AS k, o_orderkey - 700 AS back FROM orders")
+def codec_int_key32(spark, d):
+    key = codec.int_key(F.col("o_orderkey") - 700, 32)
+    return table(spark, d, "orders").select("o_orderkey", F.hex(key).alias("k"), codec.decode_int_key(key, 32).alias("back"))
+
+
 @query("SELECT o_orderkey, printf('k%015x', o_orderkey) AS k FROM orders")
 def codec_ikey_format(spark, d):
     return table(spark, d, "orders").select("o_orderkey", codec.formatted_key(F.col("o_orderkey")).alias("k"))
@@ -303,6 +331,12 @@ def codec_fnv1a64(spark, d):
     return table(spark, d, "customer").select("c_custkey", codec.fnv1a64(name).cast("string").alias("h"), codec.clean_hash(name).alias("clean"))
 
 
+@query(f"SELECT c_custkey, ({_FNV})::VARCHAR AS h FROM (SELECT c_custkey, c_name || c_mktsegment AS s FROM customer)")
+def codec_fnv_chained(spark, d):
+    """The hash of two parts, one after the other, is that of the whole."""
+    return table(spark, d, "customer").select("c_custkey", codec.fnv1a64(codec.text(F.col("c_mktsegment")), codec.fnv1a64(codec.text(F.col("c_name")))).cast("string").alias("h"))
+
+
 @query("SELECT c_custkey, (list_reduce(list_concat([0::hugeint], [ascii(s[i])::hugeint for i in range(1, length(s) + 1)]), lambda h, b: (h * 131 + b) % 18446744073709551616))::VARCHAR AS h FROM (SELECT c_custkey, c_name AS s FROM customer)")
 def codec_rolling_checksum(spark, d):
     return table(spark, d, "customer").select("c_custkey", codec.rolling(codec.text(F.col("c_name"))).cast("string").alias("h"))
@@ -402,9 +436,111 @@ def lru_hit_rate(spark, d):
     return measure.lru_hits(table(spark, d, "events"), 50, "event_id", "user_id")
 
 
+_NAMED = "e AS (SELECT *, 'Store=' || event_type || '/Variant=v' || user_id % 3 || '/Op=' || CASE WHEN user_id % 2 = 0 THEN 'Get' ELSE 'Scan' END || '/Mode=Hit/Dist=Zipf/Value=' || CASE WHEN user_id % 5 = 0 THEN '8B' ELSE '1KB_20__8B_' END || '/real_time/threads:' || user_id % 4 + 1 AS name FROM events)"
+
+
+def _named(spark, d):
+    size = F.when(F.col("user_id") % 5 == 0, "8B").otherwise("1KB_20__8B_")
+    name = measure.compose_name(F.col("event_type"), F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")), F.when(F.col("user_id") % 2 == 0, "Get").otherwise("Scan"), F.lit("Hit"), F.lit("Zipf"), size, F.col("user_id") % 4 + 1)
+    return table(spark, d, "events").withColumn("name", name)
+
+
+@query(f"""WITH {_NAMED} SELECT event_id, event_type IN ('click', 'error') AND user_id % 5 = 0 AS small, event_type = 'click' AND user_id % 2 = 0 AND user_id % 4 = 0 AS priming,
+    event_type = 'click' AND user_id % 3 = 1 AND user_id % 2 = 0 AND user_id % 5 = 0 AND user_id % 4 = 0 AS quick FROM e""")
+def bench_matrix_filters(spark, d):
+    name = F.col("name")
+    return _named(spark, d).select(
+        "event_id", measure.matrix_filter(name, ["click", "error"], "8B").alias("small"), measure.priming_filter(name, ["click"]).alias("priming"), measure.quick_filter(name, "click", "v1").alias("quick")
+    )
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'plain' ELSE '+filter' END AS label FROM events WHERE event_type = 'click' AND user_id % 3 = 0 OR event_type = 'signup' AND user_id % 3 = 1")
+def bench_labels(spark, d):
+    rows = _named(spark, d).select("event_id", *measure.name_parts(F.col("name")))
+    return measure.labelled(rows, {("click", "v0"): "plain", ("signup", "v1"): "+filter"}).select("event_id", "label")
+
+
+_FILES = "n AS (SELECT event_id, 'results_' || user_id % 4 AS file, event_type, value FROM events WHERE user_id % 4 < 3), o AS (SELECT event_id + 1000000 AS event_id, 'results_' || user_id % 4 AS file, event_type, value FROM events WHERE user_id % 4 > 0)"
+
+
+def _runs(spark, d):
+    rows = table(spark, d, "events").select("event_id", (F.col("user_id") % 4).alias("f"), "event_type", "value")
+    name = lambda folder, end: F.concat(F.lit(f"/{folder}/results_"), F.col("f").cast("string"), F.lit(f"{end}.json"))
+    return rows.where("f < 3").select("event_id", name("new", "_native").alias("file"), "event_type", "value"), rows.where("f > 0").select((F.col("event_id") + 1000000).alias("event_id"), name("old", "").alias("file"), "event_type", "value")
+
+
+@query(f"""WITH {_FILES} SELECT event_id, file, event_type, value, 'new' AS src FROM n WHERE event_type = 'signup' AND file IN (SELECT file FROM o)
+    UNION ALL SELECT event_id, file, event_type, value, 'old' FROM o WHERE event_type <> 'signup' AND file IN (SELECT file FROM n)""")
+def bench_merge_files(spark, d):
+    return measure.merge_files(*_runs(spark, d), F.col("event_type") == "signup", "_native")
+
+
+@query(f"""WITH {_FILES} SELECT coalesce(a.file, b.file) AS file, coalesce(stray, 0)::BIGINT AS stray, coalesce(rivals, 0)::BIGINT AS rivals, a.file IS NOT NULL AND b.file IS NOT NULL AS in_both
+    FROM (SELECT file, count(*) FILTER (event_type <> 'signup') AS stray FROM n GROUP BY 1) a FULL JOIN (SELECT file, count(*) FILTER (event_type <> 'signup') AS rivals FROM o GROUP BY 1) b USING (file)""")
+def bench_merge_warnings(spark, d):
+    return measure.merge_warnings(*_runs(spark, d), F.col("event_type") == "signup", "_native")
+
+
+@query("SELECT DISTINCT (user_id % 4 + 1)::INT AS threads FROM events")
+def bench_thread_counts(spark, d):
+    return measure.thread_counts(_named(spark, d).select(*measure.name_parts(F.col("name"))))
+
+
+@query("""SELECT event_type, '{' || string_agg('"' || g || '":' || n, ',' ORDER BY g) || '}' AS entries FROM (SELECT event_type, 'u' || user_id % 10 AS g, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
+def bench_nested(spark, d):
+    rows = table(spark, d, "events").groupBy("event_type", F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("g")).agg(F.count("*").alias("n"))
+    return measure.nested(rows, "event_type", "g", "n").select("event_type", F.to_json("entries").alias("entries"))
+
+
+@query(f"""WITH {_NAMED} SELECT event_type AS store, 'v' || user_id % 3 AS variant, CASE WHEN user_id % 2 = 0 THEN 'Get' ELSE 'Scan' END AS op, CASE WHEN user_id % 5 = 0 THEN '8B' ELSE '1KB' END AS value, (user_id % 4 + 1)::INT AS threads, max(value) AS items_per_second
+    FROM e GROUP BY ALL""")
+def bench_result_file(spark, d):
+    """Written as a result file, read back and parsed."""
+    path = f"{scratch_dir(spark, 'results')}/results.json"
+    cells = _named(spark, d).groupBy("name").agg(F.max("value").alias("items_per_second"))
+    cells.agg(F.collect_list(F.struct("name", "items_per_second")).alias("benchmarks")).write.json(path)
+    return results.read_benchmarks(spark, path).select("store", "variant", "op", measure.value_label(F.col("value")).alias("value"), "threads", "items_per_second")
+
+
+@query("SELECT event_type AS store, (user_id % 30)::INT AS sec, count(*) AS scan_ops, count(*) FILTER (value > 50) AS insert_ops FROM events GROUP BY 1, 2")
+def bench_timeline_file(spark, d):
+    path = scratch_dir(spark, "timelines")
+    counts = table(spark, d, "events").groupBy(F.col("event_type").alias("store"), (F.col("user_id") % 30).cast("int").alias("sec")).agg(F.count("*").alias("scan_ops"), F.count_if(F.col("value") > 50).alias("insert_ops"))
+    results.write_timeline(counts, path, "store")
+    return results.read_timelines(spark, path).select("store", "sec", "scan_ops", "insert_ops")
+
+
+@query("SELECT event_type AS scenario, user_id % 2 = 0 AS timed_out, count(*) AS key_count, max(value) AS elapsed_sec, CASE WHEN user_id % 2 = 0 THEN '≥' || floor(max(value))::BIGINT || 's (timeout)' ELSE printf('%.2fs', max(value)) END AS label FROM events GROUP BY 1, user_id % 2")
+def bench_probe_lines(spark, d):
+    path = scratch_dir(spark, "probes")
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("scenario"), (F.col("user_id") % 2 == 0).alias("timed_out")).agg(F.count("*").alias("key_count"), F.max("value").alias("elapsed_sec"))
+    results.write_lines(rows, path)
+    return results.read_probes(spark, path).select("scenario", "timed_out", "key_count", "elapsed_sec", codec.timeout_text(F.col("elapsed_sec"), F.col("timed_out")).alias("label"))
+
+
+@query("SELECT event_type AS method, 'u' || user_id % 5 AS metric, max(value) AS value FROM events GROUP BY 1, 2")
+def bench_micro_file(spark, d):
+    path = scratch_dir(spark, "micro")
+    results.write_micro(table(spark, d, "events").groupBy(F.col("event_type").alias("method"), F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("metric")).agg(F.max("value").alias("value")), path)
+    return results.read_micro(spark, path).select("method", "metric", "value")
+
+
 # ---------------------------------------------------------------- workloads
 
 
+@query("SELECT o_orderkey, greatest(1, 1048576 // (16 + 8 * (o_custkey % 200))) * (16 + 8 * (o_custkey % 200)) AS bytes FROM orders")
+def workload_corpus_bytes(spark, d):
+    size = 8 * (F.col("o_custkey") % 200)
+    keys = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(1 << 20) / (size + 16)).cast("long"))
+    return table(spark, d, "orders").select("o_orderkey", workload.corpus_bytes(keys, size).alias("bytes"))
+
+
+@query("SELECT i AS seq, 'delete' AS op, printf('k%015x', i) AS key, (i % 7)::INT AS thread FROM range((SELECT count(*) FROM orders)) t(i)")
+def workload_deletes(spark, d):
+    n = table(spark, d, "orders").count()
+    return workload.deletes(spark, n, 7).select("seq", "op", F.decode("key", "UTF-8").alias("key"), "thread")
+
+
 @query("""WITH e AS (SELECT event_id % 20 = 19 AS ins, (event_id % 2147483648) * 2654435761 % (SELECT max(o_orderkey) + 1 FROM orders) AS start FROM events),
     s AS (SELECT start, count(*) AS c FROM e WHERE NOT ins GROUP BY 1)
     SELECT 'insert' AS op, count(*) AS n, 0::BIGINT AS delivered FROM e WHERE ins
@@ -459,6 +595,20 @@ def stream_state_final(spark, d):
     return state.read().select("key", "value", "lsn")
 
 
+@query(SQL["log_latest_state"])
+def stream_keyed_state(spark, d):
+    """Replay by Spark's state store; the last row of each key is its state."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        path = scratch_dir(spark, "keyed")
+        replay.to_files(replay.keyed_state(requests(event_stream(spark, d))), path, "Update")
+    finally:
+        spark.conf.set(provider, before)
+    return replay.latest(spark, path).select("key", "value", "lsn")
+
+
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
     counts = replay.tumbling(event_stream(spark, d), "ts", "1 hour", "event_type")

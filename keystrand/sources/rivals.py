@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 class DuckStore:
-    """The contract on an embedded SQL engine: small data, one process."""
+    """The contract on an embedded SQL engine: small data, one process; requests and rows are collected by the driver."""
 
     def __init__(self, path: str = ":memory:"):
         try:

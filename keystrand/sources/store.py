@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -271,6 +272,31 @@ class KeyedStore:
             self.checkpoint()
         return why
 
+    def probe(self, kind: str, churn: DataFrame | None = None, limit: float = float("inf")) -> tuple[int, float, bool]:
+        """Time one ``reorganize`` or ``checkpoint``: (keys, seconds, over the limit).
+
+        Without ``churn`` the first one of a fresh corpus (bootstrap), else one after these requests were applied (steady).
+        """
+        if churn is not None:
+            self.apply(churn)
+        began = time.perf_counter()
+        {"reorganize": self.reorganize, "checkpoint": self.checkpoint}[kind]()
+        took = time.perf_counter() - began
+        return self.manifest["rows"], took, took > limit
+
+    def follow(self, requests: DataFrame, checkpoint: str) -> None:
+        """Apply all available input of a streaming DataFrame of requests, batch by batch, with maintenance after each.
+
+        A batch that comes again after a failure is applied again; requests are conditional, so the state ends the same.
+        """
+
+        def batch(rows: DataFrame, _: int) -> None:
+            if not rows.isEmpty():
+                self.apply(rows)
+                self.maintain()
+
+        requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
     # ---- the rest
 
     def log_bytes(self) -> int:

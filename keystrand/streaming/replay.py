@@ -84,6 +84,21 @@ def keyed_state(requests: DataFrame) -> DataFrame:
     return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=LatestValue(), outputStructType="key long, lsn long, value double, live boolean", outputMode="Update", timeMode="None")
 
 
+def to_files(changed: DataFrame, path: str, mode: str = "Update") -> None:
+    """Run all available input; each batch's rows go to ``path/b=N``, with the batch's number, so a batch that comes again replaces itself."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/b={number}")
+
+    changed.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """Live (key, lsn, value) of the rows that :func:`to_files` wrote: the last batch of a key counts."""
+    rows = spark.read.parquet(f"{path}/rows").groupBy("key").agg(F.max_by(F.struct("lsn", "value", "live"), "b").alias("r"))
+    return rows.where("r.live").select("key", "r.lsn", "r.value")
+
+
 def tumbling(events: DataFrame, ts: str, duration: str, *by: str, late: str | None = None) -> DataFrame:
     """Counts by tumbling window; ``late``: how long a window stays open for late rows in append mode."""
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp"))
@@ -93,7 +108,7 @@ def tumbling(events: DataFrame, ts: str, duration: str, *by: str, late: str | No
 
 
 def to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregate over all available input and read its result."""
+    """Run a streaming aggregate over all available input and read its result, which is held by the driver: for small results."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)

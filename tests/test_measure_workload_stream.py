@@ -5,7 +5,7 @@ import random
 from collections import OrderedDict
 
 import pytest
-from keystrand.operators import changes, measure, reads, workload
+from keystrand.operators import changes, compaction, measure, reads, workload
 from keystrand.plans import catalog
 from keystrand.sources import results
 from keystrand.streaming import replay
@@ -122,6 +122,57 @@ def test_workloads(spark):
     assert workload.churn(spark, 100, 0.3).count() == 30 and len(workload.pages(spark, 1).first().data) == 4096
 
 
+def test_exact_zipf_has_the_distribution_at_any_size(spark):
+    for n, alpha in ((1, 1.0), (5, 1.0), (300, 1.0), (300, 0.7)):
+        draws = {r.i: r["count"] for r in workload.zipf_exact(spark, n, 40_000, 3, alpha).groupBy("i").count().collect()}
+        weights = [1 / (i + 1) ** alpha for i in range(n)]
+        assert set(draws) <= set(range(n))
+        for i in range(min(n, 5)):
+            share = weights[i] / sum(weights)
+            assert abs(draws[i] / 40_000 - share) < 5 * (share / 40_000) ** 0.5 + 1e-9, (n, alpha, i)
+    big = workload.zipf_exact(spark, 10**12, 1000, 3)
+    assert big.agg(F.max("i")).first()[0] < 10**12 and big.collect() == big.repartition(3).orderBy("draw").collect()
+
+
+def test_requests_pages_and_schedules(spark):
+    rows = workload.deletes(spark, 20, 3).collect()
+    assert [(r.seq, r.op, bytes(r.key), r.thread) for r in rows] == [(i, "delete", b"k%015x" % i, i % 3) for i in range(20)]
+    assert workload.updates(spark, 30, 10).where("op = 'update' and value is not null").count() == 30
+    assert workload.corpus_keys(10_000, 84) == 100 and workload.corpus_keys(1, 84) == 1
+    pages = workload.page_accesses(spark, 1000, 50, 8).collect()
+    assert {r.page for r in pages} <= set(range(50)) and [r.op for r in pages] == [i // 8 for i in range(1000)] and len({r.page for r in pages}) > 40
+    assert [r.op for r in workload.page_accesses(spark, 5, 50).collect()] == list(range(5))
+    plan, done, now = workload.Schedule(), [], iter(range(100))
+    actions = {k: (lambda k=k: done.append(k)) for k in ("reorganize", "checkpoint")}
+    assert plan.run(4.9, actions, lambda: next(now)) == [] and plan.run(11.0, actions, lambda: next(now)) == [(5, 11.0, "reorganize", 1), (10, 11.0, "checkpoint", 1)]
+    plan.run(30.0, actions, lambda: next(now))
+    assert done == ["reorganize", "checkpoint", "checkpoint"] and not plan.open and len(plan.fired) == 3
+
+
+def test_hooks_of_merge_and_replay(spark, tmp_path):
+    rows = spark.createDataFrame([(i * 7 % 50, i) for i in range(50)], "key long, value long")
+    doubled = compaction.rewritten(rows, lambda df: df.withColumn("value", F.col("value") * 2))
+    assert {(r.key, r.value) for r in doubled.collect()} == {(i * 7 % 50, 2 * i) for i in range(50)}
+    with pytest.raises(ValueError):
+        compaction.rewritten(rows, lambda df: df.drop("value"))
+    compaction.write_final(rows, lambda df: df.write.parquet(f"{tmp_path}/final"))
+    assert spark.read.parquet(f"{tmp_path}/final").count() == 50
+    log = spark.createDataFrame([(i, "insert", bytearray(b"k%d" % i), bytearray(b"v")) for i in range(40)], "lsn long, op string, key binary, value binary").repartition(5)
+    folder = str(tmp_path / "seen")
+    (tmp_path / "seen").mkdir()
+
+    def note(op, key, value, lsn):
+        import os
+        import threading
+
+        with open(f"{folder}/{os.getpid()}-{threading.get_ident()}", "a") as f:
+            f.write(f"{op} {bytes(key).decode()} {lsn}\n")
+
+    changes.replay_to(log, note)
+    lines = [line.split() for f in (tmp_path / "seen").iterdir() for line in f.read_text().splitlines()]
+    assert sorted(int(n) for _, _, n in lines) == list(range(40)) and all(k == f"k{n}" for _, k, n in lines)
+
+
 def test_numbers_are_dense_and_ordered(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("x"))
     got = [r.position for r in reads.numbered(df, "x").orderBy("x").collect()]

@@ -228,3 +228,18 @@ def test_clone_carries_what_no_checkpoint_holds(spark, tmp_path):
     assert outcome(twin, ask(spark, ("insert", b"a", b"9"))) == [True] and store.get(b"a") is None
     twin.checkpoint()
     assert rows(KeyedStore(spark, f"file://{tmp_path}/t").scan(b"", b"z")) == [(b"a", b"9"), (b"b", b"1"), (b"c", b"2")]
+
+
+def test_probes_and_streams_into_a_store(spark, tmp_path):
+    store = KeyedStore(spark, f"file://{tmp_path}/s", EngineConfig(policy=CompactionPolicy(capacity=8)))
+    store.apply(ask(spark, *[("insert", b"%02d" % i, b"v") for i in range(10)]))
+    assert store.probe("reorganize", limit=0.0)[::2] == (10, True)
+    keys, took, late = store.probe("checkpoint", ask(spark, ("delete", b"00", None)))
+    assert keys == 9 and took > 0 and not late
+    for i in range(3):
+        ask(spark, *[("insert", b"n%d%d" % (i, j), b"w") for j in range(4)], ("delete", b"0%d" % (i + 1), None)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    store.follow(stream, f"{tmp_path}/checkpoint")
+    want = sorted([b"%02d" % i for i in range(4, 10)] + [b"n%d%d" % (i, j) for i in range(3) for j in range(4)])
+    assert [k for k, _ in rows(KeyedStore(spark, f"file://{tmp_path}/s").scan(b"", b"z"))] == want
+    assert store.statistics()["checkpoints"] >= 2
