@@ -134,6 +134,15 @@ def test_integer_keys_keep_order_and_width(spark, bits, signed, numbers):
     assert [r[0] for r in df.select(codec.decode_int_key(F.col("k"), bits, signed)).collect()] == numbers
 
 
+def test_a_registered_codec_goes_both_ways(spark):
+    codec.Codec("point", lambda x, y: codec.composite_key(codec.int_key(x, 32), codec.int_key(y, 32)), lambda k: F.struct(codec.decode_int_key(F.substring(k, 1, 4), 32).alias("x"), codec.decode_int_key(F.substring(k, 5, 4), 32).alias("y")))
+    point = codec.Codec.registry["point"]
+    points = [(-3, 7), (-3, -8), (0, 0), (5, -(2**31))]
+    df = spark.createDataFrame(points, "x int, y int").withColumn("k", point.encode(F.col("x"), F.col("y")))
+    assert [(r.x, r.y) for r in df.orderBy("k").collect()] == sorted(points)
+    assert {tuple(r.p) for r in df.select(point.decode(F.col("k")).alias("p")).collect()} == set(points)
+
+
 def test_hashes_and_layouts(spark):
     def one(c):
         return spark.range(1).select(c).first()[0]
