@@ -3,7 +3,7 @@
 Writer.  Every page is a record with an HTTP block whose body is in chunked transfer framing.  Blocks longer than
 ``segment_bytes`` become a first segment and ``continuation`` records (origin id, segment number, total length on the last).
 Of pages with equal payloads the one with the largest id is the response; the others are revisits without a body.
-Each record is a gzip member of its own.
+Each record is a gzip member of its own.  A payload may be that of any share of all pages: see :func:`_placed`.
 
 Reader.  Tasks stream the archives of the manifest.  Whole records are decoded on the spot; segments are grouped by origin
 id, put in order, checked for gaps and against the total length, joined, and then decoded.
@@ -33,6 +33,7 @@ from .archives import Rolling, filesystem
 SEGMENT_BYTES = 64 << 10
 CHUNK = 8 << 10
 ARCHIVE_BYTES = 32 << 20
+HOT = 4096  # payloads that a 4096th of all pages share
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -79,12 +80,12 @@ def _page_id(urn: str | None) -> int | None:
     return None if tail in ("", "none") else int(tail)
 
 
-def page_records(page_id, url, payload: bytes, head, revisit: bool, unique: str, segment_bytes: int) -> Iterator[bytes]:
-    digest = base32(hashlib.sha1(payload).digest())
+def page_records(page_id, url, payload: bytes | None, size: int, digest: str, head, unique: str, segment_bytes: int) -> Iterator[bytes]:
+    """The records of a page; without a payload that is a revisit of ``head``."""
     own = f"<{page_urn(page_id)}?+w={unique}>"
     common = {"WARC-Record-ID": own, "WARC-Target-URI": url and url.replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
-    if revisit:
-        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if payload is None:
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
         yield record("revisit", common | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{page_urn(head)}>"}, block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -101,18 +102,34 @@ def page_records(page_id, url, payload: bytes, head, revisit: bool, unique: str,
             yield record("continuation", {"WARC-Record-ID": f"<{page_urn(page_id)}?+w={unique}-{n}>", "WARC-Segment-Origin-ID": own, "WARC-Segment-Number": n} | last, part)
 
 
+def _placed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, size, digest, head) of every page; html is null for revisits, head is null for lone payloads.
+
+    Pages meet their payload's head by digest.  Digests that hold a 4096th of all pages or more, of which there are at most
+    so many, are broadcast: their pages know their head before the shuffle, leave their bodies behind and are dealt by id.
+    """
+    rows = plain(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    shared, _ = table(rows.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    large = F.col("n") * HOT >= F.lit(pages.count())
+    hot = shared.where(large).select("digest", F.struct("head").alias("_hot"))
+    cold = shared.where(~large).select(F.col("digest").alias("_key"), F.struct("head").alias("_cold"))
+    spread = F.concat_ws("/", "digest", F.xxhash64("page_id", "url", F.spark_partition_id()))
+    body = F.when(F.col("_hot").isNull() | F.col("page_id").eqNullSafe(F.col("_hot.head")), F.col("html"))
+    early = rows.join(F.broadcast(hot), "digest", "left").select("page_id", "url", body.alias("html"), F.octet_length("html").alias("size"), "digest", "_hot", F.when(F.col("_hot").isNull(), F.col("digest")).otherwise(spread).alias("_key"))
+    found = early.join(cold.hint("merge"), "_key", "left").withColumn("_head", F.coalesce("_hot", "_cold"))
+    revisit = F.col("_head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_head.head"))
+    return found.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "digest", F.col("_head.head").alias("head"))
+
+
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write every row of pages (page_id, url, html); the manifest (uri, bytes, records), itself kept in the folder."""
-    rows = plain(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    heads = rows.groupBy("digest").agg(F.max("page_id").alias("head"))
-    marked = rows.join(heads, "digest").select("page_id", "url", "html", "head", (~F.col("page_id").eqNullSafe(F.col("head"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, task, n = Rolling(folder, ".warc.gz", archive_bytes), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for page_id, url, html, head, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, size, digest, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n += 1
-                for r in page_records(page_id, url, html.encode(), head, revisit, f"{task}-{n}", segment_bytes):
+                for r in page_records(page_id, url, None if html is None else html.encode(), size, base32(bytes.fromhex(digest)), head, f"{task}-{n}", segment_bytes):
                     out.add(r)
                 if out.full:
                     out.close()
@@ -120,7 +137,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
         yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out.files, strict=True) if out.files else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["uri", "bytes", "records"])
 
     to = f"{folder.rstrip('/')}/_manifest"
-    arrow(marked, run, "uri string, bytes long, records long").write.parquet(to)
+    arrow(_placed(pages), run, "uri string, bytes long, records long").write.parquet(to)
     return pages.sparkSession.read.parquet(to)
 
 

@@ -212,6 +212,22 @@ def test_warc_segments_and_edges(spark, tmp_path):
     assert warc.archive_pages(pages.where("false")).count() == 0
 
 
+def test_warc_common_payloads_are_spread(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", "" if i % 3 == 0 else "common" if i % 3 == 1 else f"page {i // 6}") for i in range(600)] + [(598, "u598", "common")] * 50
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    heads = {}
+    for p, _, h in rows:
+        heads[h] = max(heads.get(h, p), p)
+    want = sorted((p, len(h), "response" if heads[h] == p else "revisit", None if heads[h] == p else heads[h], h if heads[h] == p else None) for p, _, h in rows)
+    for share in (4096, 2, 1):  # all shared payloads are broadcast, the two common ones or none is
+        monkeypatch.setattr(warc, "HOT", share)
+        folder = f"file://{tmp_path}/w{share}"
+        warc.write_archives(pages, folder)
+        got = warc.read_archives(spark, folder).collect()
+        assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload).decode()) for r in got) == want
+        assert {r.payload_digest for r in got} == {warc.base32(hashlib.sha1(h.encode()).digest()) for _, _, h in rows}
+
+
 def test_warc_damage_is_found():
     assert warc.unchunked(warc.chunked(b"a" * 20000, 7000)) == b"a" * 20000 and warc.unchunked(b"3;ext=1\r\nabc\r\n0\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
