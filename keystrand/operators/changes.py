@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -15,11 +15,33 @@ from ..sources.files import written
 from . import reads
 
 
-def outcomes(requests: DataFrame, existing: DataFrame | None = None, column: str = "key", reject: Column | None = None) -> DataFrame:
+#: The range of lsns in which the records of one key are ordered by one task.
+SPAN = 1 << 20
+
+
+def _spanned(rows: DataFrame, column: str, span: int, ends: list[Column], carried: Callable[[WindowSpec], list[Column]]) -> tuple[DataFrame, WindowSpec]:
+    """Rows and the window of a key's rows in lsn order, at most ``span`` lsns in one group whatever share of the rows a key has.
+
+    Where the log is longer than ``span``, groups are (key, range of lsns).  ``ends`` sums up each, with partial sums;
+    ``carried`` tells from a window over a key's earlier ranges what a range begins with, and that enters as a row with ``_mark``.
+    """
+    rows = rows.withColumn("_mark", F.lit(False))
+    low, high = rows.agg(F.min("lsn"), F.max("lsn")).first()
+    if low is None or high - low < span:
+        return rows, Window.partitionBy(column).orderBy("lsn")
+    rows = rows.withColumn("_span", F.floor(F.col("lsn") / span))
+    ordered = Window.partitionBy(column).orderBy("_span")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(column, "_span").agg(*ends)
+    marks = sums.select(column, "_span", *carried(before), F.lit(True).alias("_mark"), F.row_number().over(ordered).alias("_at")).where("_at > 1").drop("_at")
+    return rows.unionByName(marks, allowMissingColumns=True), Window.partitionBy(column, "_span").orderBy(F.desc("_mark"), "lsn")
+
+
+def outcomes(requests: DataFrame, existing: DataFrame | None = None, column: str = "key", reject: Column | None = None, span: int = SPAN) -> DataFrame:
     """Requests with ``exists_before`` and ``accepted``.
 
     Insert needs absence, update and delete need presence.  A rejected request never changes whether a key exists, so the
-    last insert or delete before a request tells what it finds: one window, no loop.  ``existing`` keys count as inserted
+    last insert or delete before a request tells what it finds: windows, no loop, and no group of more than ``span`` requests.  ``existing`` keys count as inserted
     before all requests; requests for which ``reject`` holds are refused and without effect.
     """
     rows = requests.withColumn("_refused", F.coalesce(reject, F.lit(False)) if reject is not None else F.lit(False))
@@ -28,11 +50,13 @@ def outcomes(requests: DataFrame, existing: DataFrame | None = None, column: str
         rows = rows.join(known, column, "left")
     else:
         rows = rows.withColumn("_known", F.lit(None).cast("boolean"))
-    before = Window.partitionBy(column).orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("op").isin("insert", "delete") & ~F.col("_refused"), F.col("op")), ignorenulls=True).over(before)
-    found = F.coalesce(last == "insert", F.col("_known"), F.lit(False))
-    rows = rows.withColumn("exists_before", found)
-    return rows.withColumn("accepted", ~F.col("_refused") & F.when(F.col("op") == "insert", ~F.col("exists_before")).otherwise(F.col("exists_before"))).drop("_refused", "_known")
+    rows = rows.withColumn("_event", F.when(F.col("op").isin("insert", "delete") & ~F.col("_refused"), F.col("op") == "insert"))
+    last = F.max_by("_event", F.when(F.col("_event").isNotNull(), F.col("lsn"))).alias("_event")
+    rows, w = _spanned(rows, column, span, [last], lambda before: [F.last("_event", ignorenulls=True).over(before).alias("_event")])
+    found = F.last("_event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("exists_before", F.coalesce(found, F.col("_known"), F.lit(False))).where(~F.col("_mark"))
+    rows = rows.withColumn("accepted", ~F.col("_refused") & F.when(F.col("op") == "insert", ~F.col("exists_before")).otherwise(F.col("exists_before")))
+    return rows.select(*[F.col(f"`{c}`") for c in requests.columns], "exists_before", "accepted")
 
 
 def sentinel_reject(column: str = "value") -> Column:
@@ -84,10 +108,12 @@ def resolve_changed(log: DataFrame, state: DataFrame, checkpoint_lsn, column: st
     return changed_keys(log, checkpoint_lsn, column).join(state, column, "left")
 
 
-def versions(log: DataFrame, value: str = "value", column: str = "key") -> DataFrame:
-    """Each record with the value before it and its version number."""
-    w = Window.partitionBy(column).orderBy("lsn")
-    return log.withColumn("previous", F.lag(value).over(w)).withColumn("version", F.row_number().over(w).cast("long"))
+def versions(log: DataFrame, value: str = "value", column: str = "key", span: int = SPAN) -> DataFrame:
+    """Each record with the value before it and its version number; see :func:`_spanned` for keys with many versions."""
+    ends = [F.max_by(value, "lsn").alias(value), F.count("*").alias("_n")]
+    rows, w = _spanned(log.withColumn("_n", F.lit(None).cast("long")), column, span, ends, lambda before: [F.last(value).over(before).alias(value), (F.sum("_n").over(before) - 1).alias("_n")])
+    number = F.row_number().over(w) + F.coalesce(F.first("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return rows.withColumn("previous", F.lag(value).over(w)).withColumn("version", number.cast("long")).where(~F.col("_mark")).drop("_n", "_mark", "_span")
 
 
 def deltas(value: str, order: str, by: list[str] | None = None) -> Column:

@@ -99,6 +99,11 @@ def thread_counts(rows: DataFrame) -> DataFrame:
     return rows.select("threads").where("threads is not null").distinct().orderBy("threads")
 
 
+def probe_points(rows: DataFrame) -> DataFrame:
+    """Points of a report's probe lines, each scenario's by number of keys."""
+    return rows.orderBy("scenario", "key_count")
+
+
 def winners(rows: DataFrame, native: Column, *by: str) -> DataFrame:
     """Best native and best rival label and value for each group, their ratio and badge; ties go to the first label."""
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..sources.files import written
 
 AT, PART, SHIFT = "__at", "__part", "__shift"
@@ -113,6 +114,16 @@ def dereference(index: DataFrame, values: DataFrame) -> DataFrame:
     return index.join(values, ["generation", "offset"], "inner")
 
 
+def covered(index: DataFrame, values: DataFrame) -> DataFrame:
+    """Every index entry with its ``value``: small ones lie in the index (``small_value``), only the others' records are looked up.
+
+    An entry without a record of its generation finds nothing, like in :func:`dereference`.
+    """
+    small = codec.is_inline(F.col("hash"))
+    far = dereference(index.where(~small).drop("small_value"), values)
+    return index.where(small).drop("offset", "generation").withColumnRenamed("small_value", "value").unionByName(far.drop("offset", "generation"))
+
+
 def fold_values(state: DataFrame, expr: Column) -> DataFrame:
     """A fold over a scan's rows, as one aggregate expression."""
     return state.agg(expr)

@@ -135,6 +135,16 @@ def kv_dereference(spark, d):
     return reads.dereference(index, values)
 
 
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders WHERE o_custkey % 5 = 0 OR o_custkey % 7 > 0")
+def kv_covered(spark, d):
+    """Values of up to eight bytes lie in the index; the records of a seventh of the others belong to another generation."""
+    orders, small = table(spark, d, "orders"), F.col("o_custkey") % 5 == 0
+    hash_ = F.when(small, codec.embed(F.col("o_orderkey"), F.octet_length("o_orderstatus"))).otherwise(F.col("o_orderkey"))
+    index = orders.select("o_orderkey", hash_.alias("hash"), F.when(small, F.col("o_orderstatus")).alias("small_value"), F.col("o_orderkey").alias("offset"), F.lit(1).alias("generation"))
+    values = orders.where(~small).select(F.col("o_orderkey").alias("offset"), F.when(F.col("o_custkey") % 7 > 0, 1).otherwise(0).alias("generation"), F.col("o_orderpriority").alias("value"))
+    return reads.covered(index, values).select("o_orderkey", "value")
+
+
 # ---------------------------------------------------------------- logs
 
 
@@ -515,7 +525,7 @@ def bench_probe_lines(spark, d):
     path = scratch_dir(spark, "probes")
     rows = table(spark, d, "events").groupBy(F.col("event_type").alias("scenario"), (F.col("user_id") % 2 == 0).alias("timed_out")).agg(F.count("*").alias("key_count"), F.max("value").alias("elapsed_sec"))
     results.write_lines(rows, path)
-    return results.read_probes(spark, path).select("scenario", "timed_out", "key_count", "elapsed_sec", codec.timeout_text(F.col("elapsed_sec"), F.col("timed_out")).alias("label"))
+    return measure.probe_points(results.read_probes(spark, path)).select("scenario", "timed_out", "key_count", "elapsed_sec", codec.timeout_text(F.col("elapsed_sec"), F.col("timed_out")).alias("label"))
 
 
 @query("SELECT event_type AS method, 'u' || user_id % 5 AS metric, max(value) AS value FROM events GROUP BY 1, 2")

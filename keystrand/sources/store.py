@@ -4,6 +4,7 @@ Layout: ``base/v=N`` (Parquet, range-partitioned and sorted by key, Bloom filter
 with checksums; a batch counts once its commit marker is there), ``manifest/N.json``.  State is the manifest's base and the
 log above its checkpoint LSN, newest wins.  Order of a checkpoint: new base, then manifest, then log rotation; a crash in
 between loses nothing, as replay is idempotent.  The log ends at its first damaged record; the next append cuts it there.
+After a failed append this object refuses all writes, since it can't tell what reached the disk; a new one looks there.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class KeyedStore:
         self.files = Files(spark, self.path)
         #: called by name between the steps of a checkpoint; tests put faults here
         self.hooks: dict[str, Callable[[], None]] = {}
+        self.failure: Exception | None = None
         self.counters = {"compactions": 0, "checkpoints": 0, "stalls": 0}
         self.manifest = self._load()
         if not self.manifest["version"]:
@@ -79,6 +81,10 @@ class KeyedStore:
         self.files.publish(f"manifest/{m['version']:012d}.json", json.dumps(m))
         self.manifest = m
 
+    def _writable(self) -> None:
+        if self.failure is not None:
+            raise StoreError("an append to the log has failed; open the store again") from self.failure
+
     def _hook(self, name: str) -> None:
         self.hooks.get(name, lambda: None)()
 
@@ -182,6 +188,7 @@ class KeyedStore:
         Only accepted records reach the log.  The outcomes are written once and numbered from what was written; StoreError if
         they are not as many as the requests, before any record reaches the log.
         """
+        self._writable()
         before, lsn, bad = self._decided(requests.select("key").distinct())
         rows = requests.withColumnRenamed("seq", "lsn")
         done = changes.outcomes(rows, before, reject=changes.sentinel_reject() | (F.coalesce(F.octet_length("value"), F.lit(0)) > self.config.value_quota))
@@ -195,10 +202,14 @@ class KeyedStore:
             raise StoreError(f"{answered} answers to {asked} requests")
         done = reads.positions(done)
         log = done.where("accepted").select((F.col("position") + (lsn - 1)).alias("lsn"), "op", "key", F.when(F.col("op") != "delete", F.col("value")).alias("value"))
-        if bad is not None:
-            self._fence(bad)
-        self._hook("before_log")
-        changes.with_checksum(log).write.parquet(f"{self.path}/log/{batch}")
+        try:
+            if bad is not None:
+                self._fence(bad)
+            self._hook("before_log")
+            changes.with_checksum(log).write.parquet(f"{self.path}/log/{batch}")
+        except Exception as e:
+            self.failure = e
+            raise
         return done.select(F.col("lsn").alias("seq"), "accepted")
 
     def insert(self, key: bytes, value: bytes) -> bool:
@@ -229,6 +240,7 @@ class KeyedStore:
 
     def bulk_load(self, rows: DataFrame) -> None:
         """Upsert (key, value) straight into a new snapshot: no log, no gating; of equal keys one row stays."""
+        self._writable()
         state, lsn, _ = self._decided()
         old = state.select("key", "value", F.lit(False).alias("is_delete"), F.lit(0).cast("long").alias("lsn"))
         new = rows.select("key", "value", F.lit(False).alias("is_delete"), F.lit(1).cast("long").alias("lsn"))
@@ -237,6 +249,7 @@ class KeyedStore:
 
     def reorganize(self) -> None:
         """Fold the log's tail into a new snapshot; the log stays until a checkpoint rotates it."""
+        self._writable()
         state, lsn, _ = self._decided()
         base, n, content = self._write_base(state)
         self._hook("before_manifest")

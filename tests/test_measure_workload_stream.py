@@ -74,6 +74,30 @@ def test_deltas_of_groups_that_span_partitions(spark):
     assert all(total[i] == (None if i == 0 or None in (steps[i][2], steps[i - 1][2]) else steps[i][2] - steps[i - 1][2]) for i in range(3000))
 
 
+@pytest.mark.parametrize("span", [1, 7, 50, 1 << 20])
+def test_outcomes_and_versions_of_hot_keys_by_ranges_of_the_log(spark, span):
+    rng = random.Random(span)
+    rows = [(n, rng.choice(["insert", "update", "delete"]), rng.choice([1, 1, 1, 2, 3, None, rng.randrange(90)]), rng.choice([None, 1.5, 9.0, float(n)])) for n in rng.sample(range(2000), 400)]
+    log, known = spark.createDataFrame(rows, "lsn long, op string, key long, value double"), {1, 40, 41}
+    live, last, want = {k: True for k in known}, {}, {}
+    for lsn, op, key, value in sorted(rows, key=lambda r: r[0]):
+        refused, found = value == 9.0, live.get(key, False)
+        accepted = not refused and (op == "insert") != found
+        if accepted and op != "update":
+            live[key] = op == "insert"
+        previous, number = last.get(key, (None, 0))
+        last[key] = value, number + 1
+        want[lsn] = (op, key, value, found, accepted, previous, number + 1)
+    existing = spark.createDataFrame([(k,) for k in known], "key long")
+    done = changes.outcomes(log, existing, reject=F.col("value") == 9.0, span=span)
+    assert done.columns == [*log.columns, "exists_before", "accepted"]
+    counted = changes.versions(log, span=span)
+    assert counted.columns == [*log.columns, "previous", "version"]
+    got = {r.lsn: tuple(r)[1:] for r in done.join(counted.select("lsn", "previous", "version"), "lsn").collect()}
+    assert got == want
+    assert changes.outcomes(log.where("false"), span=span).count() == 0 and changes.versions(log.where("false"), span=span).count() == 0
+
+
 def test_range_probe_equals_brute_force(spark):
     r = random.Random(5)
     keys, starts = sorted(r.sample(range(-500, 3000), 700)), [r.randrange(-700, 3100) for _ in range(200)]

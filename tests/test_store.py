@@ -203,6 +203,26 @@ def test_writes_after_damage_are_kept(spark, tmp_path):
     assert rows(KeyedStore(spark, path).scan(b"", b"z")) == want[:3]
 
 
+def test_a_failed_append_stops_all_writes(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store = KeyedStore(spark, path)
+    assert store.insert(b"a", b"1")
+
+    def fault():
+        raise OSError("no space left")
+
+    store.hooks["before_log"] = fault
+    with pytest.raises(OSError):
+        store.insert(b"b", b"2")
+    store.hooks.clear()
+    for write in (lambda: store.insert(b"b", b"2"), store.checkpoint, lambda: store.bulk_load(spark.createDataFrame([(b"b", b"2")], "key binary, value binary"))):
+        with pytest.raises(StoreError, match="open the store again"):
+            write()
+    assert store.get(b"a") == b"1" and store.get(b"b") is None
+    again = KeyedStore(spark, path)
+    assert again.insert(b"b", b"2") and rows(again.scan(b"", b"z")) == [(b"a", b"1"), (b"b", b"2")]
+
+
 def test_only_committed_batches_count(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     store = KeyedStore(spark, path)
