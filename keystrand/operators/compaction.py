@@ -99,18 +99,21 @@ class CompactionPolicy:
     scan_rows: int = 18_724
     tail_capacity: int = 1 << 20
 
+    def _rules(self, delta_rows, deleted, log_bytes, scanning, tail_keys) -> list[tuple[str, object]]:
+        """(reason, whether it holds), the first that holds counts; over numbers or over columns."""
+        return [
+            ("hard", (delta_rows >= self.hard * self.capacity) | (tail_keys >= 0.9 * self.tail_capacity)),
+            ("soft", delta_rows >= self.soft * self.capacity),
+            ("scan", scanning & (delta_rows >= self.scan_rows)),
+            ("deletes", (delta_rows > 0) & (deleted >= self.delete_share * delta_rows)),
+            ("log", log_bytes >= self.log_bytes),
+            ("tail", tail_keys >= 0.5 * self.tail_capacity),
+        ]
+
     def decide(self, delta_rows: int, deleted: int = 0, log_bytes: int = 0, scanning: bool = False, tail_keys: int = 0) -> str | None:
         """The reason to compact now, or None.  ``hard`` means writers wait."""
-        if delta_rows >= self.hard * self.capacity or tail_keys >= 0.9 * self.tail_capacity:
-            return "hard"
-        if delta_rows >= self.soft * self.capacity:
-            return "soft"
-        if scanning and delta_rows >= self.scan_rows:
-            return "scan"
-        if delta_rows and deleted >= self.delete_share * delta_rows:
-            return "deletes"
-        if log_bytes >= self.log_bytes:
-            return "log"
-        if tail_keys >= 0.5 * self.tail_capacity:
-            return "tail"
-        return None
+        return next((why for why, due in self._rules(delta_rows, deleted, log_bytes, scanning, tail_keys) if due), None)
+
+    def reason(self, delta_rows: Column, deleted: Column, log_bytes: Column, scanning: Column, tail_keys: Column) -> Column:
+        """:meth:`decide` for many stores, one a row."""
+        return F.coalesce(*[F.when(due, why) for why, due in self._rules(delta_rows, deleted, log_bytes, scanning, tail_keys)])

@@ -571,6 +571,42 @@ def workload_value_sizes(spark, d):
     return table(spark, d, "orders").groupBy(codec.value_size(F.col("o_orderkey"), 1024).alias("size")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT i, printf('k%015x', i) AS key, (CASE WHEN i % 5 = 0 THEN 8 ELSE 64 END)::INT AS bytes FROM range((SELECT count(*) FROM orders)) t(i)")
+def workload_populate(spark, d):
+    """A corpus as large as orders, in a seeded order."""
+    rows = workload.shuffled(workload.corpus(spark, table(spark, d, "orders").count(), 64))
+    return rows.select("i", F.decode("key", "UTF-8").alias("key"), F.octet_length("value").alias("bytes"))
+
+
+@query("SELECT i AS seq, 'insert' AS op, printf('k%015x', i + (SELECT count(*) FROM orders)) AS key FROM range((SELECT count(*) FROM events)) t(i)")
+def workload_inserts(spark, d):
+    """As many new keys as events, from the first one that orders leave."""
+    rows = workload.inserts(spark, table(spark, d, "orders").count(), table(spark, d, "events").count(), 64)
+    return rows.select("seq", "op", F.decode("key", "UTF-8").alias("key"))
+
+
+@query("""SELECT 'hit' AS kind, count(*) AS asked, count(*) AS found FROM events UNION ALL SELECT 'miss', count(*), 0 FROM events
+    UNION ALL SELECT 'scan', count(*), count(*) FROM events UNION ALL SELECT 'churn', count(*) // 2, count(*) // 2 FROM orders""")
+def workload_lookups(spark, d):
+    """Drawn keys are in the corpus or beyond it, as the workload says, and scans end within it."""
+    n, count = table(spark, d, "orders").count(), table(spark, d, "events").count()
+    corpus = workload.corpus(spark, n, 8).select("i", "key")
+    drawn = workload.hits(spark, count, n).withColumn("kind", F.lit("hit")).union(workload.misses(spark, count, n).withColumn("kind", F.lit("miss")))
+    drawn = drawn.unionByName(workload.churn(spark, n, 0.5, target=8).select("key", F.lit("churn").alias("kind")))
+    starts = workload.scans(spark, count, n).select(F.lit("scan").alias("kind"), F.col("start").between(0, n - 1).alias("there"))
+    found = drawn.join(corpus, "key", "left").select("kind", F.col("i").isNotNull().alias("there")).union(starts)
+    return found.groupBy("kind").agg(F.count("*").alias("asked"), F.sum(F.col("there").cast("long")).alias("found"))
+
+
+@query("""WITH g AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS deleted, sum(event_id % 97) AS bytes, count(DISTINCT event_type) AS keys FROM events GROUP BY 1)
+    SELECT user_id, CASE WHEN n >= 0.95 * 40 OR keys >= 0.9 * 8 THEN 'hard' WHEN n >= 20 THEN 'soft' WHEN user_id % 2 = 0 AND n >= 12 THEN 'scan' WHEN deleted >= 0.25 * n THEN 'deletes' WHEN bytes >= 400 THEN 'log' WHEN keys >= 4 THEN 'tail' END AS why FROM g""")
+def compact_policy(spark, d):
+    """Why each of many logs, one a user, should be folded into its base."""
+    policy = compaction.CompactionPolicy(capacity=40, delete_share=0.25, log_bytes=400, scan_rows=12, tail_capacity=8)
+    logs = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.col("event_type") == "error").cast("long")).alias("deleted"), F.sum(F.col("event_id") % 97).alias("bytes"), F.countDistinct("event_type").alias("keys"))
+    return logs.select("user_id", policy.reason(F.col("n"), F.col("deleted"), F.col("bytes"), F.col("user_id") % 2 == 0, F.col("keys")).alias("why"))
+
+
 # ---------------------------------------------------------------- store and streams
 
 
@@ -580,13 +616,37 @@ def workload_value_sizes(spark, d):
     SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lsn DESC) AS n FROM v) WHERE n = 1 AND op <> 'delete'""")
 def store_lifecycle(spark, d):
     """Bulk load, apply requests, checkpoint, open again, read all."""
-    path = scratch_dir(spark, "store")
-    store = KeyedStore(spark, path)
+    store = _filled(spark, d)
+    store.checkpoint()
+    return _decoded(KeyedStore(spark, store.path))
+
+
+def _filled(spark, d) -> KeyedStore:
+    """A new store: orders loaded into its snapshot, events applied and in the log."""
+    store = KeyedStore(spark, scratch_dir(spark, "store"))
     store.bulk_load(table(spark, d, "orders").select(codec.int_key(F.col("o_orderkey")).alias("key"), codec.int_value(F.col("o_custkey")).alias("value")))
     asked = table(spark, d, "events").select(F.col("event_id").alias("seq"), operation().alias("op"), codec.int_key(F.col("user_id") * 7).alias("key"), codec.int_value(F.col("event_id")).alias("value"))
     store.apply(asked)
-    store.checkpoint()
-    return KeyedStore(spark, path).state().select(codec.decode_int_key(F.col("key")).alias("key"), codec.decode_int_value(F.col("value")).alias("value"))
+    return store
+
+
+def _decoded(store: KeyedStore) -> DataFrame:
+    return store.state().select(codec.decode_int_key(F.col("key")).alias("key"), codec.decode_int_value(F.col("value")).alias("value"))
+
+
+@query(SQL["store_lifecycle"])
+def store_clone(spark, d):
+    """Snapshot by reference and the log's tail: a clone reads like its origin, whose content is verified."""
+    store = _filled(spark, d)
+    store.verify()
+    return _decoded(store.clone(scratch_dir(spark, "clone")))
+
+
+@query(f"SELECT count(*) AS n, sum(value)::BIGINT AS total FROM ({SQL['store_lifecycle']})")
+def store_fold(spark, d):
+    """A fold over a scan of all keys of a store that was opened again without a checkpoint."""
+    store = KeyedStore(spark, _filled(spark, d).path)
+    return store.scan(b"", b"\xff" * 16, fold=F.struct(F.count("*").alias("n"), F.sum(codec.decode_int_value(F.col("value"))).alias("total")).alias("f")).select("f.*")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
