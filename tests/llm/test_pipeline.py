@@ -2,6 +2,7 @@
 
 import brute
 import corpus_pipeline as pipeline
+from keystrand.llm import quality
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -54,7 +55,9 @@ def test_stages_take_awkward_rows(spark, tmp_path):
     rows = [(1, "same text here is long enough", "en", "s", 1, 0, 0, 0)] * 3 + [(None, None, None, None, None, None, None, None), (None, "x", "en", "s", 1, 0, 0, 0), (2, "", "en", "s", 0, 0, 0, 0), (3, None, "en", "s", 0, 0, 0, 0), (4, "w " * 30_000, "en", "s", 9, 0, 0, 0)]
     full = spark.createDataFrame(rows, kind)
     for df, n in ((full, 6), (full.where("false"), 0)):
-        assert pipeline.STAGES[0][1](spark, df, SF).columns == df.columns
+        good = pipeline.STAGES[0][1](spark, df, SF)
+        scored = quality.score_quality(df, spark.read.parquet(f"{SF}/labels.parquet"))
+        assert good.columns == df.columns and scored.count() == df.count() and good.count() == scored.where("predicted = 1").count()
         once = pipeline.STAGES[1][1](spark, df, SF)
         assert once.columns == df.columns and once.count() == n
         for _, stage in pipeline.STAGES[2:4]:
