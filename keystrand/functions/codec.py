@@ -19,6 +19,7 @@ OFFSET_BITS = 48
 INLINE_KEY, INLINE_VALUE = 16, 8
 SIGN = -(1 << 63)
 TWO_64 = 1 << 64
+HALF = (1 << 32) - 1
 
 
 def _d(n: int) -> Column:
@@ -76,21 +77,31 @@ class Codec:
 
 
 def byte_values(c: Column) -> Column:
-    """Array of 0..255 for a BINARY column."""
-    h = F.hex(c)
-    at = F.filter(F.sequence(F.lit(0), F.octet_length(c)), lambda i: i < F.octet_length(c))
-    return F.transform(at, lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    """Array of 0..255 for a BINARY column; each byte is looked at once, in whatever length of text."""
+    return F.transform(F.array_remove(F.split(F.decode(c, "ISO-8859-1"), ""), ""), F.ascii)
 
 
-def fnv1a64(c: Column, start: Column | None = None) -> Column:
-    """FNV-1a over bytes as DECIMAL(20,0); ``start`` continues an earlier hash."""
+def _times(high: Column, low: Column, factor: int) -> Column:
+    """(high * 2^32 + low) * factor modulo 2^64, the bits of a BIGINT; no step overflows for halves of 32 bits and FNV's prime."""
+    up, down = factor >> 32, factor & HALF
+    lower = low * down
+    upper = high * down + F.shiftrightunsigned(lower, 32)
+    return F.shiftleft(upper + low * up if up else upper, 32).bitwiseOR(lower.bitwiseAND(F.lit(HALF)))
+
+
+def _unsigned(bits: Column) -> Column:
+    return F.conv(F.hex(bits), 16, 10).cast("decimal(20,0)")
 
-    def step(h: Column, b: Column) -> Column:
-        low = F.pmod(h, _d(256))
-        mixed = h - low + low.cast("int").bitwiseXOR(b).cast("decimal(20,0)")
-        return F.pmod(mixed * _d(FNV_PRIME), _d(TWO_64)).cast("decimal(20,0)")
 
-    return F.aggregate(byte_values(c), _d(FNV_BASIS) if start is None else start.cast("decimal(20,0)"), step)
+def _fnv_bits(c: Column, start: Column | None = None) -> Column:
+    """FNV-1a as the bits of a BIGINT, so that no byte costs a decimal."""
+    first = F.lit(FNV_BASIS - TWO_64) if start is None else F.conv(F.pmod(start.cast("decimal(20,0)"), _d(TWO_64)).cast("string"), 10, -10).cast("long")
+    return F.aggregate(byte_values(c), first, lambda h, b: _times(F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(HALF)).bitwiseXOR(b.cast("long")), FNV_PRIME))
+
+
+def fnv1a64(c: Column, start: Column | None = None) -> Column:
+    """FNV-1a over bytes as DECIMAL(20,0); ``start`` continues an earlier hash."""
+    return _unsigned(_fnv_bits(c, start))
 
 
 def clean_hash(c: Column) -> Column:
