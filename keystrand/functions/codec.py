@@ -81,10 +81,10 @@ def byte_values(c: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.decode(c, "ISO-8859-1"), ""), ""), F.ascii)
 
 
-def _times(high: Column, low: Column, factor: int) -> Column:
-    """(high * 2^32 + low) * factor modulo 2^64, the bits of a BIGINT; no step overflows for halves of 32 bits and FNV's prime."""
+def _times(high: Column, low: Column, factor: int, add: Column | None = None) -> Column:
+    """(high * 2^32 + low) * factor + add modulo 2^64, the bits of a BIGINT; no step overflows for halves of 32 bits, a byte to add and FNV's prime."""
     up, down = factor >> 32, factor & HALF
-    lower = low * down
+    lower = low * down if add is None else low * down + add
     upper = high * down + F.shiftrightunsigned(lower, 32)
     return F.shiftleft(upper + low * up if up else upper, 32).bitwiseOR(lower.bitwiseAND(F.lit(HALF)))
 
@@ -106,12 +106,12 @@ def fnv1a64(c: Column, start: Column | None = None) -> Column:
 
 def clean_hash(c: Column) -> Column:
     """The low 60 bits of the hash, BIGINT."""
-    return F.pmod(fnv1a64(c), _d(1 << 60)).cast("long")
+    return _fnv_bits(c).bitwiseAND(F.lit(CLEAN_MASK))
 
 
 def rolling(c: Column) -> Column:
     """h * 131 + byte modulo 2^64, DECIMAL(20,0)."""
-    return F.aggregate(byte_values(c), _d(0), lambda h, b: F.pmod(h * _d(ROLLING_BASE) + b, _d(TWO_64)).cast("decimal(20,0)"))
+    return _unsigned(F.aggregate(byte_values(c), F.lit(0).cast("long"), lambda h, b: _times(F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(HALF)), ROLLING_BASE, b.cast("long"))))
 
 
 def record_checksum(lsn: Column, op: Column, key: Column, value: Column) -> Column:
